@@ -10,6 +10,8 @@ from skyloom.functions.text import SPACE, js_trim, null_if_empty
 # Coordinate block and ident shapes of the fixed-width format.
 COORD_PATTERN = r"[NS]\d{8}[EW]\d{9}"
 IDENT_PATTERN = "^[A-Z]{2,5}$"
+PADDED_IDENT = r"^\s*(?!RW)[A-Z]{2,5}\s*$"
+FIVE_LETTER_IDENT = "^[A-Z]{5}$"
 AIRPORT_PATTERN = "^[A-Z0-9]{3,4}$"
 
 # Degrees, minutes, seconds, hemisphere in free text; commas outside quotes.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import geo
-from skyloom.functions.phonetic import TextKeys, sound_score_keys
+from skyloom.functions.phonetic import TextKeys, best_score
 from skyloom.functions.text import js_upper_trim, null_if_empty, round1
 from skyloom.operators.ranking import take_first
 from skyloom.operators.spatial import BOX, nearest_join, within_radius_join
@@ -103,29 +103,22 @@ def search_nearby(nearby: DataFrame, queries: DataFrame, dialect: str = "page")
         .where("q <> ''")
         .select("query_id", "aircraft", "q", TextKeys.struct_of(F.col("q"), dialect).alias("qk"))
     )
-    q = TextKeys.of(F.col("qk"))
     name = F.regexp_replace(F.upper(F.coalesce("name", F.lit(""))), "[^A-Z ]", "")
+    city = F.upper(F.coalesce("city", F.lit("")))
+    # Whole fields first, then each longer word of the name.
     words = F.filter(F.split(F.col("clean_name"), " "), lambda w: F.length(w) >= MIN_WORD)
+    fields = F.array_distinct(F.concat(F.array("icao", "clean_name", "upper_city"), words))
     texts = (
         nearby.withColumn("clean_name", name)
-        .withColumn("upper_city", F.upper(F.coalesce("city", F.lit(""))))
-        .withColumn("k_icao", TextKeys.struct_of(F.col("icao"), dialect))
-        .withColumn("k_name", TextKeys.struct_of(F.col("clean_name"), dialect))
-        .withColumn("k_city", TextKeys.struct_of(F.col("upper_city"), dialect))
-        .withColumn("k_words", F.transform(words, lambda w: TextKeys.struct_of(w, dialect)))
+        .withColumn("upper_city", city)
+        .withColumn("keys", F.transform(fields, lambda t: TextKeys.struct_of(t, dialect)))
     )
 
-    def score(keys: Column) -> Column:
-        return sound_score_keys(TextKeys.of(keys), q)
-
-    by_word = F.array_max(F.transform("k_words", score))
-
     def floor(cond: Column, points: int) -> Column:
         return F.when(F.coalesce(cond, F.lit(False)), points).otherwise(0)
 
     total = F.greatest(
-        score(F.col("k_icao")), score(F.col("k_name")), score(F.col("k_city")),
-        F.coalesce(by_word, F.lit(0)),
+        best_score(F.col("keys"), F.col("qk")),
         floor(F.contains(F.col("icao"), F.col("q")), FLOOR_ICAO),
         floor(F.contains(F.col("clean_name"), F.col("q")), FLOOR_NAME),
         floor(F.contains(F.col("upper_city"), F.col("q")), FLOOR_CITY),
@@ -135,7 +128,7 @@ def search_nearby(nearby: DataFrame, queries: DataFrame, dialect: str = "page")
         texts.join(asked, "aircraft")
         .withColumn("score", total)
         .where(F.col("score") >= NEARBY_SCORE)
-        .drop("qk", "clean_name", "upper_city", "k_icao", "k_name", "k_city", "k_words")
+        .drop("qk", "clean_name", "upper_city", "keys")
         .orderBy("query_id", F.desc("score"), "sort_dist", "ord")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import geo
-from skyloom.functions.phonetic import TextKeys, sound_score_keys
+from skyloom.functions.phonetic import TextKeys, best_score
 from skyloom.functions.procs import has_root_procs
 from skyloom.functions.text import js_upper_trim, moa_ident, moa_spoken, name_letters, title_case
 from skyloom.operators.ranking import locale_order, take_first
@@ -123,11 +123,7 @@ def area_search(selection: DataFrame, queries: DataFrame, dialect: str = "page")
     texts = selection.withColumn("k1", TextKeys.struct_of(F.col("ident"), dialect)).withColumn(
         "k2", TextKeys.struct_of(name_letters(F.col("name")), dialect)
     )
-    q = TextKeys.of(F.col("qk"))
-    score = F.greatest(
-        sound_score_keys(TextKeys.of(F.col("k1")), q),
-        sound_score_keys(TextKeys.of(F.col("k2")), q),
-    )
+    score = best_score(["k1", "k2"], F.col("qk"))
     scored = (
         texts.join(asked, "region_id")
         .withColumn("score", score)

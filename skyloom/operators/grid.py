@@ -176,33 +176,47 @@ def levels_in_use(boxes: DataFrame, level: str) -> Column:
     return boxes.agg(F.collect_set(level)).scalar()
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; looks at statistics only, runs nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys holding more than 1/HOT_KEYS of the rows, with the number of salts to use.
+
+    There are fewer than HOT_KEYS of them whatever the size of the data, so they may pass
+    through the driver and be broadcast.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    hot = counts.where(F.col("n") * HOT_KEYS > total).select(
+        *keys, F.ceil(F.col("n") * HOT_KEYS / total).cast("int").alias("__salts")
+    )
+    return df.sparkSession.createDataFrame(hot.collect(), hot.schema)
+
+
 def salted_join(
     split: DataFrame,
     copied: DataFrame,
     keys: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    counts: DataFrame | None = None,
+    check_bytes: int | None = None,
 ) -> DataFrame:
     """Equi-join that deals rows of hot keys of ``split`` out over several salts.
 
-    A key is hot when it holds more than 1/HOT_KEYS of the rows, so there are fewer than
-    HOT_KEYS hot keys and their table is safe to broadcast. The salt is a hash of the row's own
-    id columns, so a recomputed task deals its rows out the same way. ``counts`` may supply
-    the row counts per key (``keys`` + ``n``) when a cheaper input has them.
+    Inputs estimated below ``check_bytes`` are joined as they are: their largest key fits a
+    task. Above, one pass over the join keys finds the hot ones. The salt is a hash of the row's
+    own id columns, so a recomputed task deals its rows out the same way. Skewed shuffle
+    partitions that remain are split by adaptive execution.
     """
-    if counts is None:
-        counts = split.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    hot = counts.where((F.col("n") * HOT_KEYS > total) & (F.col("n") > MIN_HOT_ROWS)).select(
-        *keys, F.ceil(F.col("n") * HOT_KEYS / total).cast("int").alias("__salts")
-    )
-    hot = F.broadcast(hot)
+    limit = SALT_CHECK_BYTES if check_bytes is None else check_bytes
+    if split.isStreaming or estimated_bytes(split) < limit:
+        return split.join(copied, list(keys), how)
+    hot = F.broadcast(hot_keys(split, keys))
     dealt = split.join(hot, list(keys), "left").withColumn(
         "__salt",
-        F.coalesce(
-            F.pmod(F.xxhash64(*spread_by), F.col("__salts")).cast("int"), F.lit(0)
-        ),
+        F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("__salts")).cast("int"), F.lit(0)),
     )
     copies = copied.join(hot, list(keys), "left").withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
@@ -210,5 +224,5 @@ def salted_join(
     return dealt.drop("__salts").join(copies.drop("__salts"), [*keys, "__salt"], how).drop("__salt")
 
 
-# Below this many rows a key is not worth splitting.
-MIN_HOT_ROWS = 10_000
+# Estimated input size from which hot keys are looked for.
+SALT_CHECK_BYTES = 1 << 30

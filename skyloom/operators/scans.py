@@ -42,13 +42,24 @@ def _join_borders(df: DataFrame, borders: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def row_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    out: str,
+    total: str | None = None,
 ) -> DataFrame:
-    """0-based position of each row in its key's order. ``chunk`` must grow with ``order``."""
+    """0-based position of each row in its key's order. ``chunk`` must grow with ``order``.
+
+    ``total`` names an optional column with the number of rows of the key.
+    """
     rows = with_chunk(df, chunk)
     sizes = rows.groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(_chunk_window(keys).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*keys, _CHUNK, F.coalesce(before, F.lit(0)).alias("__before"))
+    border = [F.coalesce(before, F.lit(0)).alias("__before")]
+    if total:
+        border.append(F.sum("__n").over(Window.partitionBy(*keys)).alias(total))
+    offsets = sizes.select(*keys, _CHUNK, *border)
     inner = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     ranked = rows.withColumn("__rn", F.row_number().over(inner))
     return (
@@ -58,29 +69,24 @@ def row_index(
     )
 
 
-def next_row(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    cols: Sequence[str],
-    out: str,
+def next_by_index(
+    df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str], out: str, run: int
 ) -> DataFrame:
-    """Struct of ``cols`` of the following row in the key's order; NULL on the last row."""
-    rows = with_chunk(df, chunk)
+    """Struct of ``cols`` of the following row, for rows with a dense index per key.
+
+    Rows are grouped by runs of ``run`` indexes. The first row of a run is copied to the end of
+    the run before it, so one shuffle is enough and no track meets in one task.
+    """
     payload = F.struct(*[F.col(c) for c in cols])
-    firsts = rows.groupBy(*keys, _CHUNK).agg(
-        F.min_by(payload, _order_struct(order)).alias("__first")
-    )
-    borders = firsts.select(
-        *keys, _CHUNK, F.lead("__first").over(_chunk_window(keys)).alias("__next_first")
-    )
-    inner = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    ranked = rows.withColumn("__lead", F.lead(payload).over(inner))
+    own = F.floor(F.col(idx) / run)
+    opens = (F.col(idx) > 0) & (F.col(idx) % run == 0)
+    both = F.when(opens, F.array(own, own - 1)).otherwise(F.array(own))
+    spread = df.withColumn(_CHUNK, F.explode(both))
+    inner = Window.partitionBy(*keys, _CHUNK).orderBy(idx)
     return (
-        _join_borders(ranked, borders, keys)
-        .withColumn(out, F.coalesce("__lead", "__next_first"))
-        .drop("__lead", "__next_first", _CHUNK)
+        spread.withColumn(out, F.lead(payload).over(inner))
+        .where(F.col(_CHUNK) == F.floor(F.col(idx) / run))
+        .drop(_CHUNK)
     )
 
 

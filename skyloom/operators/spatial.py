@@ -27,19 +27,26 @@ def bbox_join(
     regions: DataFrame,
     point_id: Sequence[str] = ("ord",),
     on: Sequence[str] = (),
+    levels: Sequence[int] | None = None,
 ) -> DataFrame:
     """Pairs of points and the boxes containing them (inclusive, no wrap).
 
     ``regions`` carries min_lat, max_lat, min_lon, max_lon; ``on`` adds equality columns shared
-    by both sides. A box lands in at most 25 cells of the level that fits its size, and points
-    are only numbered for the levels in use.
+    by both sides. A box lands in at most 25 cells of the level that fits its size. Points are
+    numbered for the levels in use, which a subquery over the boxes finds unless ``levels``
+    names them (worth it when the boxes are costly to compute).
     """
     leveled = regions.withColumn("__level", grid.box_level(_cols()))
     boxes = leveled.withColumn(
         "__cell", F.explode(grid.box_cells(_cols(), F.col("__level")))
     ).drop("__level")
+    used = (
+        grid.levels_in_use(leveled, "__level")
+        if levels is None
+        else F.array(*[F.lit(i) for i in levels])
+    )
     probes = (
-        points.withColumn("__levels", grid.levels_in_use(leveled, "__level"))
+        points.withColumn("__levels", used)
         .withColumn("__level", F.explode("__levels"))
         .withColumn("__cell", grid.box_point_cell(F.col("lat"), F.col("lon"), F.col("__level")))
         .drop("__levels", "__level")
@@ -56,18 +63,14 @@ def aabb_join(
 ) -> DataFrame:
     """Pairs of areas and regions whose boxes overlap; areas carry a ``bbox`` struct.
 
-    A pair meets at the coarser of the two levels, where both boxes span few cells. It may meet
-    in several cells there, and only the cell of the overlap's lower corner reports it, so no
-    duplicate removal is needed.
+    Both sides go to the cells of their own and all coarser levels. A pair meets at the coarser
+    of the two levels, where both boxes span few cells; it may meet in several cells there, and
+    only the cell of the overlap's lower corner reports it, so no duplicate removal is needed.
     """
-    regions = regions.withColumn("__rl", grid.box_level(_cols()))
-    areas = areas.withColumn("__al", grid.box_level(F.col("bbox")))
-    region_levels = grid.levels_in_use(regions, "__rl")
-    area_levels = grid.levels_in_use(areas, "__al")
-    boxes = _cells_from(regions, F.col("__rl"), area_levels, _cols())
-    probes = _cells_from(areas, F.col("__al"), region_levels, F.col("bbox")).drop("__lv")
-    pairs = grid.salted_join(probes, boxes, ["__cell", *on], list(area_id))
     bbox = F.col("bbox")
+    boxes = _leveled_cells(regions, "__rl", _cols())
+    probes = _leveled_cells(areas, "__al", bbox).drop("__lv")
+    pairs = grid.salted_join(probes, boxes, ["__cell", *on], list(area_id))
     corner = grid.box_point_cell(
         F.greatest(bbox["min_lat"], F.col("min_lat")),
         F.greatest(bbox["min_lon"], F.col("min_lon")),
@@ -80,18 +83,13 @@ def aabb_join(
     ).drop("__cell", "__lv", "__al", "__rl")
 
 
-def _cells_from(df: DataFrame, own: Column, others: Column, box) -> DataFrame:
-    """Cells of a box at its own level and at every coarser level the other side uses."""
+def _leveled_cells(df: DataFrame, own: str, box) -> DataFrame:
+    """One row per cell of the box at its own level (column ``own``) and at each coarser one."""
+    top = len(grid.BOX_LEVELS) - 1
     return (
-        df.withColumn("__others", others)
-        .withColumn(
-            "__lv",
-            F.explode(
-                F.filter(F.array_union("__others", F.array(own)), lambda level: level >= own)
-            ),
-        )
+        df.withColumn(own, grid.box_level(box))
+        .withColumn("__lv", F.explode(F.sequence(F.col(own), F.lit(top))))
         .withColumn("__cell", F.explode(grid.box_cells(box, F.col("__lv"))))
-        .drop("__others")
     )
 
 

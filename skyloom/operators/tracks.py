@@ -15,16 +15,11 @@ AIRBORNE_ALT, AIRBORNE_GS = 500, 60
 START_MOVED_D2 = 0.0001
 SNAP_D2 = 0.001
 
-CHUNK_POINTS = 4096
+RUN_POINTS = 4096
 
 POINT = ["lat", "lon", "alt", "gs"]
 
 
-def index_chunk(idx: str = "idx") -> Column:
-    """Scan chunk of a cleaned track: equal runs of points."""
-    return F.floor(F.col(idx) / CHUNK_POINTS)
-
-
 def clean_tracks(positions: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """Ordered points per aircraft: aircraft, idx, ts, ord, lat, lon, alt, gs, is_live.
 
@@ -50,18 +45,17 @@ def clean_tracks(positions: DataFrame, live: DataFrame | None = None) -> DataFra
                 F.lit(True).alias("is_live"),
             )
         )
-    many = pts.groupBy("aircraft").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # The live point closes the track, so it sits in a chunk after all others.
     chunk = F.when(F.col("is_live"), F.lit(2**62)).otherwise(scans.time_chunk(F.col("ts")))
-    return scans.row_index(
-        pts.join(many.select("aircraft"), "aircraft", "left_semi"),
-        ["aircraft"], ["is_live", "ts", "ord"], chunk, "idx",
+    indexed = scans.row_index(
+        pts, ["aircraft"], ["is_live", "ts", "ord"], chunk, "idx", total="points"
     )
+    return indexed.where("points > 1").drop("points")
 
 
 def track_segments(points: DataFrame) -> DataFrame:
     """Segments aircraft, seg, a_lat, a_lon, b_lat, b_lon between consecutive points."""
-    nxt = scans.next_row(points, ["aircraft"], ["idx"], index_chunk(), ["lat", "lon"], "b")
+    nxt = scans.next_by_index(points, ["aircraft"], "idx", ["lat", "lon"], "b", RUN_POINTS)
     return nxt.where(F.col("b").isNotNull()).select(
         "aircraft",
         F.col("idx").alias("seg"),

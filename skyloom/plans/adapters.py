@@ -15,7 +15,7 @@ SITES = """
 select p_partkey as ord,
        substr(replace(upper(p_name), ' ', ''), 1, 5) as ident,
        upper(p_name) as name,
-       p_brand as airport,
+       upper(p_brand) as airport,
        case p_size % 5 when 0 then 'fix' when 1 then 'vor' when 2 then 'ndb'
                        when 3 then 'airport' else 'vfr' end as type,
        cast((p_partkey * 7919) % 6000 as double) / 1e2 + 10e0 as lat,
@@ -58,7 +58,7 @@ join (%s) r on r.region_id = n.n_nationkey
 """ % REGIONS
 
 AIRPORT_QUERIES = """
-select p_brand as query_id, p_brand as icao,
+select p_brand as query_id, upper(p_brand) as icao,
        case when length(p_brand) %% 2 = 0 then '' else substr(upper(min(p_name)), 1, 7) end as query
 from {part} group by p_brand
 """.replace("%%", "%")

@@ -262,7 +262,7 @@ def gazetteer_union(spark, sf):
              substr(replace(upper(p_name), ' ', ''), 1, 5) || ' ' || (l_linenumber % 4) as proc
       from lineitem join part on p_partkey = l_partkey),
     d as (select ident, type, airport, proc, min(seq) as seq from l group by all)
-    select ident, string_agg(proc || '/' || type || '/' || airport, ';' order by seq) as procs, count(*) as n
+    select ident, string_agg(proc || '/' || type || '/' || airport, ';' order by seq, proc, type, airport) as procs, count(*) as n
     from d group by ident
     """,
 )

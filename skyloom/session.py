@@ -24,6 +24,7 @@ def build_session(app: str = "skyloom", master: str | None = None, **conf: str)
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
         ),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     settings.update(conf)
     for key, value in settings.items():

@@ -18,7 +18,6 @@ SECTION, AIRPORT, PROC_KIND = (4, 5), (6, 10), (12, 13)
 IDENT, PROC_CODE, PROC_FIX = (13, 18), (13, 19), (29, 34)
 NAME, NAME_MIN_LENGTH, AIRPORT_MIN_LENGTH = (93, 123), 93, 10
 MIN_COLUMNS = 5
-FIVE_LETTERS = 5
 
 SRC_TYPE = "struct<file:string,block:bigint,seq:bigint>"
 
@@ -54,21 +53,19 @@ def record_procs(lines: DataFrame) -> DataFrame:
     kind = _f(PROC_KIND)
     rows = (
         lines.where(
-            F.startswith("line", F.lit("S")) & (_f(SECTION) == "P") & kind.isin("D", "E")
+            F.startswith("line", F.lit("S"))
+            & (_f(SECTION) == "P")
+            & kind.isin("D", "E")
+            & _f(PROC_CODE).rlike(r"\S\s*\S")
+            & _f(PROC_FIX).rlike(R.PADDED_IDENT)
         )
         .select(
             "src",
             F.when(kind == "D", "SID").otherwise("STAR").alias("type"),
             js_trim(_f(AIRPORT)).alias("airport"),
-            js_trim(_f(PROC_CODE)).alias("code"),
+            R.proc_display_name(js_trim(_f(PROC_CODE))).alias("proc"),
             js_trim(_f(PROC_FIX)).alias("ident"),
         )
-        .where(
-            (F.length("code") >= 2)
-            & F.col("ident").rlike(R.IDENT_PATTERN)
-            & ~F.startswith("ident", F.lit("RW"))
-        )
-        .withColumn("proc", R.proc_display_name(F.col("code")))
     )
     # One row per distinct procedure before a site's list is gathered.
     distinct = rows.groupBy("ident", "proc", "type", "airport").agg(F.min("src").alias("src"))
@@ -87,37 +84,42 @@ def record_procs(lines: DataFrame) -> DataFrame:
     )
 
 
+def settled(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that later filters use as values.
+
+    A filter on a plain computed column is pushed below the projection and repeats the whole
+    expression for every mention; behind a generator it reads the value.
+    """
+    row = F.struct(*[c.alias(n) for n, c in cols.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def record_sites(lines: DataFrame) -> DataFrame:
     """Sites of the fixed-width records before deduplication: src, ident, type, lat, lon, ..."""
     line = F.col("line")
-    block = F.col("block")
-    rows = (
-        lines.where(F.startswith("line", F.lit("S")))
-        .withColumn("block", R.coord_block(line))
-        .withColumn("ident", js_trim(_f(IDENT)))
-        .withColumn("type", R.line_type(line))
-        .where(
-            block.isNotNull()
-            & F.col("ident").rlike(R.IDENT_PATTERN)
-            & ~F.startswith("ident", F.lit("RW"))
-            & F.col("type").isNotNull()
-            & (~F.col("type").isin("fix", "airport") | (F.length("ident") == FIVE_LETTERS))
-        )
-        .withColumn("lat", R.arinc_lat(block))
-        .withColumn("lon", R.arinc_lon(block))
-        .where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
-    )
-    named = F.col("type").isin("vor", "ndb") & (F.length(line) > NAME_MIN_LENGTH)
-    icao = js_trim(_f(AIRPORT))
+    type_ = R.line_type(line)
+    ident = _f(IDENT)
+    rows = lines.where(
+        F.startswith("line", F.lit("S")) & type_.isNotNull() & ident.rlike(R.PADDED_IDENT)
+    ).where(~type_.isin("fix", "airport") | ident.rlike(R.FIVE_LETTER_IDENT))
+    # The first coordinate block; lines without one drop out.
+    blocks = F.slice(F.regexp_extract_all(line, F.lit(R.COORD_PATTERN), F.lit(0)), 1, 1)
+    placed = settled(
+        rows.select("src", "line", F.explode(blocks).alias("block")),
+        lat=R.arinc_lat(F.col("block")),
+        lon=R.arinc_lon(F.col("block")),
+        icao=js_trim(_f(AIRPORT)),
+    ).where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
+    named = type_.isin("vor", "ndb") & (F.length(line) > NAME_MIN_LENGTH)
     at_airport = (
         (_f(SECTION) == "P")
         & (F.length(line) >= AIRPORT_MIN_LENGTH)
-        & icao.rlike(R.AIRPORT_PATTERN)
+        & F.col("icao").rlike(R.AIRPORT_PATTERN)
     )
-    return rows.select(
-        "src", "ident", "lat", "lon", "type",
+    return placed.select(
+        "src", js_trim(ident).alias("ident"), "lat", "lon", type_.alias("type"),
         F.when(named, js_trim(_f(NAME))).alias("name"),
-        F.when(at_airport, icao).alias("airport"),
+        F.when(at_airport, F.col("icao")).alias("airport"),
     )
 
 
@@ -125,21 +127,29 @@ def _col(parts: Column, i: int) -> Column:
     return F.try_element_at(parts, F.lit(i + 1))
 
 
+def _placed(rows: DataFrame, lat: Column, lon: Column) -> DataFrame:
+    return settled(rows, lat=lat, lon=lon).where(
+        F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    )
+
+
 def navaids(lines: DataFrame) -> DataFrame:
     """Positional, commas always split: ident, name, type, lat, lon, -, -, procs."""
     parts = F.col("parts")
     rows = lines.withColumn("parts", R.split_plain(F.col("line"))).where(
         F.size("parts") >= MIN_COLUMNS
     )
-    return rows.select(
+    return _placed(
+        rows, parse_float_prefix(_col(parts, 3)), parse_float_prefix(_col(parts, 4))
+    ).select(
         "src",
         js_upper_trim(_col(parts, 0)).alias("ident"),
-        parse_float_prefix(_col(parts, 3)).alias("lat"),
-        parse_float_prefix(_col(parts, 4)).alias("lon"),
+        "lat",
+        "lon",
         R.navaid_type(js_upper_trim(_col(parts, 2))).alias("type"),
         js_upper_trim(_col(parts, 1)).alias("name"),
         R.parse_procs(_col(parts, 7)).alias("procs"),
-    ).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    )
 
 
 def _unquoted(c: Column) -> Column:
@@ -153,14 +163,18 @@ def waypoints(lines: DataFrame) -> DataFrame:
         F.size("parts") >= MIN_COLUMNS
     )
     ident = F.upper(_unquoted(_col(parts, 2)))
-    return rows.select(
+    return _placed(
+        rows,
+        R.parse_dms(_unquoted(_col(parts, 3))),
+        R.parse_dms(_unquoted(_col(parts, 4))),
+    ).select(
         "src",
         ident.alias("ident"),
-        R.parse_dms(_unquoted(_col(parts, 3))).alias("lat"),
-        R.parse_dms(_unquoted(_col(parts, 4))).alias("lon"),
+        "lat",
+        "lon",
         F.lit("fix").alias("type"),
         R.parse_procs(_col(parts, 5), ident).alias("procs"),
-    ).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    )
 
 
 def vfr_points(lines: DataFrame) -> DataFrame:
@@ -169,14 +183,16 @@ def vfr_points(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("parts", R.split_plain(F.col("line"))).where(
         F.size("parts") >= MIN_COLUMNS
     )
-    return rows.select(
+    return _placed(
+        rows, parse_float_prefix(_col(parts, 3)), parse_float_prefix(_col(parts, 4))
+    ).select(
         "src",
         js_upper_trim(_col(parts, 0)).alias("ident"),
-        parse_float_prefix(_col(parts, 3)).alias("lat"),
-        parse_float_prefix(_col(parts, 4)).alias("lon"),
+        "lat",
+        "lon",
         F.lit("vfr").alias("type"),
         js_upper_trim(_col(parts, 1)).alias("name"),
-    ).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    )
 
 
 # Header names of the airport table.

@@ -1,3 +1,10 @@
 """Spark-native geo-analytics for aeronautical sites, tracks and procedures."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to Python workers travel by value, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -18,11 +18,11 @@ AREA_EPSILON = 1e-10
 
 
 def haversine_nm(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    rad = math.pi / 180
-    d_lat = (lat2 - lat1) * F.lit(math.pi) / F.lit(180.0)
-    d_lon = (lon2 - lon1) * F.lit(math.pi) / F.lit(180.0)
-    s_lat, s_lon = F.sin(d_lat / 2), F.sin(d_lon / 2)
-    a = s_lat * s_lat + F.cos(lat1 * F.lit(rad)) * F.cos(lat2 * F.lit(rad)) * s_lon * s_lon
+    def rad(deg: Column) -> Column:
+        return deg * F.lit(math.pi) / F.lit(180.0)
+
+    s_lat, s_lon = F.sin(rad(lat2 - lat1) / 2), F.sin(rad(lon2 - lon1) / 2)
+    a = s_lat * s_lat + F.cos(rad(lat1)) * F.cos(rad(lat2)) * (s_lon * s_lon)
     return F.lit(EARTH_RADIUS_NM * 2) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 

@@ -5,6 +5,7 @@ from skyloom.plans import (  # noqa: F401
     catalog_routes,
     catalog_search,
     catalog_spatial,
+    catalog_stream,
 )
 from skyloom.plans.registry import ORACLES, QUERIES
 

@@ -79,9 +79,10 @@ def dms_parse(spark, sf):
 
 @query(
     "number_prefix",
-    """select doc_id, n from (
-         select doc_id, try_cast(nullif(regexp_extract(text, '([0-9]+\\.?[0-9]*)', 1), '') as double) as n
-         from documents) d where n is not null""",
+    # A number beyond the range of DOUBLE is infinite.
+    """select doc_id, coalesce(try_cast(digits as double), cast('infinity' as double)) as n from (
+         select doc_id, nullif(regexp_extract(text, '([0-9]+\\.?[0-9]*([eE][+-]?[0-9]+)?)', 1), '') as digits
+         from documents) d where digits is not null""",
 )
 def number_prefix(spark, sf):
     # The text from its first digit on: only the leading number counts.

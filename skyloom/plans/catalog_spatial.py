@@ -330,8 +330,10 @@ ZONES_CTE = f"""
       ) g join once o on o.aircraft = g.aircraft and o.branch = g.branch and o.ord = g.ord
     ),
     nearest as (
-      select aircraft, branch, ord, ident, name, type, search_text, min(d) as distance, arg_min(seg, d) as nearest_seg
-      from measured group by all having min(d) <= 20
+      select aircraft, branch, ord, ident, name, type, search_text, m.d as distance, m.seg as nearest_seg
+      from (select aircraft, branch, ord, ident, name, type, search_text,
+                   min({{'k': floor(d * 1e9 + 0.5e0), 'seg': seg, 'd': d}}) as m
+            from measured group by all) g where m.d <= 20
     ),
     zoned as (
       select *, {ZONE_CASE} as zone,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sphere radius in nautical miles; nautical miles per degree in box padding.
@@ -17,31 +17,76 @@ DEG_PER_NM = math.degrees(1.0 / EARTH_RADIUS_NM) * (1 + 1e-9)
 AREA_EPSILON = 1e-10
 
 
-def haversine_nm(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    def rad(deg: Column) -> Column:
-        return deg * F.lit(math.pi) / F.lit(180.0)
+def _rad(deg: Column) -> Column:
+    return deg * F.lit(math.pi) / F.lit(180.0)
+
+
+def _haversine_a(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    s_lat, s_lon = F.sin(_rad(lat2 - lat1) / 2), F.sin(_rad(lon2 - lon1) / 2)
+    return s_lat * s_lat + F.cos(_rad(lat1)) * F.cos(_rad(lat2)) * (s_lon * s_lon)
+
 
-    s_lat, s_lon = F.sin(rad(lat2 - lat1) / 2), F.sin(rad(lon2 - lon1) / 2)
-    a = s_lat * s_lat + F.cos(rad(lat1)) * F.cos(rad(lat2)) * (s_lon * s_lon)
+def _arc_nm(a: Column) -> Column:
     return F.lit(EARTH_RADIUS_NM * 2) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 
+def haversine_nm(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    return _arc_nm(_haversine_a(lat1, lon1, lat2, lon2))
+
+
 def _clamp01(t: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
 
 
-def point_segment_nm(
-    a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column, p_lat: Column, p_lon: Column
-) -> Column:
-    """Distance of a point to a segment; the foot is found in raw degrees, without cos(lat)."""
+def _segment_t(a_lat, a_lon, b_lat, b_lon, p_lat, p_lon) -> Column:
     d_lat, d_lon = b_lat - a_lat, b_lon - a_lon
     len2 = d_lat * d_lat + d_lon * d_lon
     # A zero-length segment has no projection: t = 0 is its start point.
-    t = F.coalesce(
+    return F.coalesce(
         _clamp01(F.try_divide((p_lat - a_lat) * d_lat + (p_lon - a_lon) * d_lon, len2)),
         F.lit(0.0),
     )
-    return haversine_nm(p_lat, p_lon, a_lat + t * d_lat, a_lon + t * d_lon)
+
+
+def point_segment_nm(
+    a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column, p_lat: Column, p_lon: Column
+) -> Column:
+    """Distance of a point to a segment; the foot is found in raw degrees, without cos(lat)."""
+    t = _segment_t(a_lat, a_lon, b_lat, b_lon, p_lat, p_lon)
+    return haversine_nm(p_lat, p_lon, a_lat + t * (b_lat - a_lat), a_lon + t * (b_lon - a_lon))
+
+
+def _settle_arc(df: DataFrame, out: str) -> DataFrame:
+    # The generator keeps later filters on the distance from being pushed down as a second copy
+    # of the whole formula.
+    arc = F.struct(_arc_nm(F.col("__hav")).alias(out))
+    return df.select("*", F.inline(F.array(arc))).drop("__hav")
+
+
+def with_distance(
+    df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, out: str
+) -> DataFrame:
+    """Adds the great-circle distance, each part of the formula computed once per row."""
+    a = _haversine_a(F.col(lat1), F.col(lon1), F.col(lat2), F.col(lon2))
+    return _settle_arc(df.withColumn("__hav", a), out)
+
+
+def with_segment_distance(
+    df: DataFrame, a: tuple[str, str], b: tuple[str, str], p: tuple[str, str], out: str
+) -> DataFrame:
+    """Adds the distance of point ``p`` to segment ``a``-``b`` (pairs of lat/lon columns)."""
+    (a_lat, a_lon), (b_lat, b_lon), (p_lat, p_lon) = (
+        tuple(F.col(c) for c in pair) for pair in (a, b, p)
+    )
+    t = F.col("__t")
+    return _settle_arc(
+        df.withColumn("__t", _segment_t(a_lat, a_lon, b_lat, b_lon, p_lat, p_lon))
+        .withColumn("__f_lat", a_lat + t * (b_lat - a_lat))
+        .withColumn("__f_lon", a_lon + t * (b_lon - a_lon))
+        .withColumn("__hav", _haversine_a(p_lat, p_lon, F.col("__f_lat"), F.col("__f_lon")))
+        .drop("__t", "__f_lat", "__f_lon"),
+        out,
+    )
 
 
 def point_segment_geodesic_nm(

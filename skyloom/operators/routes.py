@@ -38,17 +38,19 @@ def extract_routes(pages: DataFrame) -> DataFrame:
         "callsign", kind_rank.alias("k"), page_ord.alias("p"), F.posexplode(links).alias("i", "link")
     )
 
-    def part(i: int) -> Column:
-        return F.regexp_extract("link", HISTORY_LINK, i)
-
-    clock = F.substring(part(2), 1, 4)
-    return found.select(
+    # The link ends in .../history/<day>/<clock>Z/<orig>/<dest>.
+    parts = F.split("link", "/")
+    linked = found.select("*", *[
+        F.element_at(parts, i - 4).alias(n) for i, n in enumerate(("day", "clock", "o", "d"))
+    ])
+    clock = F.substring("clock", 1, 4)
+    return linked.select(
         "callsign",
         F.struct("k", "p", "i").alias("ord"),
-        F.upper(part(3)).alias("orig"),
-        F.upper(part(4)).alias("dest"),
-        utc_from_parts(part(1), clock).alias("ts"),
-        part(1).alias("date_str"),
+        F.upper("o").alias("orig"),
+        F.upper("d").alias("dest"),
+        utc_from_parts(F.col("day"), clock).alias("ts"),
+        F.col("day").alias("date_str"),
         clock.alias("time_str"),
     )
 

@@ -143,9 +143,10 @@ def _cell_pairs(
         )
     )
     pairs = grid.salted_join(left, right, ["__cell"], list(probe_id)).drop("__cell")
-    return pairs.withColumn(
-        "distance_nm",
-        geo.haversine_nm(F.col("lat"), F.col("lon"), F.col("site_lat"), F.col("site_lon")),
+    reach = radius_nm * geo.DEG_PER_NM + 1e-6
+    close = F.abs(F.col("lat") - F.col("site_lat")) <= reach
+    return geo.with_distance(
+        pairs.where(close), "lat", "lon", "site_lat", "site_lon", "distance_nm"
     )
 
 

@@ -101,13 +101,13 @@ def _fold(rows: DataFrame, group: Sequence[str], rules: Sequence[Crowding]) -> D
 def _rounds(rows: DataFrame, rules: Sequence[Crowding]) -> DataFrame:
     """Round-based settlement for groups of any size."""
     open_rows = cut_lineage(rows)
-    kept = None
+    kept = []
     while not open_rows.isEmpty():
         settled = cut_lineage(_first_in_surroundings(open_rows, rules))
-        kept = settled if kept is None else cut_lineage(kept.unionByName(settled))
+        kept.append(settled)
         rest = open_rows.join(settled.select("ord"), "ord", "left_anti")
         open_rows = cut_lineage(_without_crowded(rest, settled, rules))
-    return rows.limit(0) if kept is None else kept
+    return reduce(DataFrame.unionByName, kept) if kept else rows.limit(0)
 
 
 def _first_in_surroundings(rows: DataFrame, rules: Sequence[Crowding]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,22 +38,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only a local session without that setting gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
     if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        return named.rstrip("/")
+    own = _OWN_DIR.get("path")
+    if own is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="skyloom-ckpt-", dir=os.environ.get("TMPDIR")))
-    return sc.getCheckpointDir()
+        own = _OWN_DIR["path"] = tempfile.mkdtemp(prefix="skyloom-", dir=os.environ.get("TMPDIR"))
+    return own
+
+
+_OWN_DIR: dict[str, str] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and ends the growth of an iterative plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a result to the shared folder and go on from the written table.
+
+    The result is computed once, survives the loss of executors, ends the growth of an iterative
+    plan, and tells the planner its real size.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"

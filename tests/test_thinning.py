@@ -1,0 +1,64 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from skyloom.operators import thinning
+
+SITES = "ord int, ident string, type string, lat double, lon double"
+
+
+def greedy(rows):
+    kept, seen = [], set()
+    for o, ident, kind, lat, lon in sorted(rows):
+        key = (ident, f"{lat:.4f}", f"{lon:.4f}")
+        if key in seen:
+            continue
+        seen.add(key)
+        t = 0.5 if kind == "fix" else 0.05
+        if any(i == ident and abs(a - lat) < t and abs(b - lon) < t for i, a, b in kept):
+            continue
+        kept.append((ident, lat, lon))
+        yield o
+
+
+def sites(seed, n=400):
+    rng = random.Random(seed)
+    rows = []
+    for o in range(n):
+        hot = o % 3 == 0  # a third of all rows under one name, crowded together
+        lat = rng.uniform(0, 2) if hot else rng.uniform(-3, 3)
+        lon = rng.uniform(0, 2) if hot else rng.uniform(-3, 3)
+        rows.append((o, "HOT" if hot else rng.choice("ABC"), rng.choice(["fix", "vor", "airport"]), lat, lon))
+    rows += [(n + i, "HOT", "vor", 0.03 * i, 5.0) for i in range(40)]  # a chain in order
+    return rows
+
+
+@pytest.mark.parametrize("limit", [500, 10])
+def test_proximity_dedup_is_the_ordered_fold(spark, limit):
+    rows = sites(1)
+    got = thinning.proximity_dedup(spark.createDataFrame(rows, SITES), fold_limit=limit)
+    assert sorted(r.ord for r in got.collect()) == sorted(greedy(rows))
+
+
+@pytest.mark.parametrize("limit", [500, 10])
+def test_zoom_thinning_is_the_ordered_fold(spark, limit):
+    rows = sites(2, 250)
+    df = spark.createDataFrame(rows, SITES)
+    got = sorted(r.ord for r in thinning.thin_for_zoom(df, 7.0, 512, fold_limit=limit).collect())
+    x, y = thinning.mercator_px(F.col("lat"), F.col("lon"), 7.0)
+    px = {r.ord: (r.x, r.y, r.ident) for r in df.select("ord", "ident", x.alias("x"), y.alias("y")).collect()}
+    kept = []
+    for o in sorted(px):
+        a, b, ident = px[o]
+        spot = (int((a / 2 + 0.5) // 1), int((b / 2 + 0.5) // 1))
+        tile = (a // 512, b // 512)
+        crowded = any(
+            t == tile and (s == spot or (i == ident and (c - a) ** 2 + (d - b) ** 2 < 1600))
+            for c, d, i, s, t in kept
+        )
+        if not crowded:
+            kept.append((a, b, ident, spot, tile))
+            px[o] = (*px[o], True)
+    want = sorted(o for o, v in px.items() if len(v) == 4)
+    assert got == want and 10 < len(want) < len(rows)

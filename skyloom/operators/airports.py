@@ -67,10 +67,9 @@ def nearby_airports(
     The box is padded by the same degrees on both axes, which loses airports to the east and
     west at high latitudes; ``exact`` skips it. An airport closer than 2 NM sorts first.
     """
-    last = points.groupBy("aircraft").agg(
-        F.max_by(F.struct("lat", "lon"), F.col("idx")).alias("p")
+    probes = points.groupBy("aircraft").agg(
+        F.max_by("lat", "idx").alias("lat"), F.max_by("lon", "idx").alias("lon")
     )
-    probes = last.select("aircraft", "p.lat", "p.lon")
     near = within_radius_join(probes, airports, max_nm, ["aircraft"])
     if not exact:
         padded = geo.pad_bbox_deg({c: F.col(c) for c in BOX}, max_nm)

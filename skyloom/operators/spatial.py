@@ -167,8 +167,12 @@ def nearest_join(
     site_cols: Sequence[str] = ("icao",),
     out: str = "nearest",
 ) -> DataFrame:
-    """Each probe with a struct of its nearest site (first in ``ord`` on a tie) or NULL."""
-    near = within_radius_join(probes, sites, max_nm, probe_id)
+    """Each probe with a struct of its nearest site (first in ``ord`` on a tie) or NULL.
+
+    Of several sites at one position only the first can win, so copies are dropped up front.
+    """
+    unique = take_first(sites, ["lat", "lon"], ["ord"])
+    near = within_radius_join(probes, unique, max_nm, probe_id)
     best = near.groupBy(*probe_id).agg(
         F.min_by(
             F.struct(*[F.col(c) for c in site_cols], F.col("distance_nm")),

@@ -85,14 +85,29 @@ def is_airborne() -> Column:
 
 
 def end_points(points: DataFrame) -> DataFrame:
-    """Per aircraft: ``start`` (first airborne point, else the first) and ``last`` point."""
-    pt = F.struct("lat", "lon")
-    airborne_at = F.when(is_airborne(), F.col("idx"))
-    return points.groupBy("aircraft").agg(
-        F.coalesce(F.min_by(pt, airborne_at), F.min_by(pt, F.col("idx"))).alias("start"),
-        F.max_by(pt, F.col("idx")).alias("last"),
+    """Per aircraft: ``start`` (first airborne point, else the first) and ``last`` point.
+
+    Latitude and longitude are picked separately by the unique index, which lets each task
+    combine its rows in a hash table.
+    """
+    idx, airborne_at = F.col("idx"), F.when(is_airborne(), F.col("idx"))
+    picked = points.groupBy("aircraft").agg(
+        *[
+            agg.alias(f"{c}_{n}")
+            for c in ("lat", "lon")
+            for n, agg in (
+                ("air", F.min_by(c, airborne_at)),
+                ("first", F.min_by(c, idx)),
+                ("last", F.max_by(c, idx)),
+            )
+        ],
         F.count(F.lit(1)).alias("points"),
     )
+    start = [F.coalesce(f"{c}_air", f"{c}_first").alias(c) for c in ("lat", "lon")]
+    last = [F.col(f"{c}_last").alias(c) for c in ("lat", "lon")]
+    return picked.select(
+        "aircraft", F.struct(*start).alias("start"), F.struct(*last).alias("last"), "points"
+    )
 
 
 _SNAP_CELL = 0.05
@@ -108,12 +123,19 @@ def snap_time(positions: DataFrame, timed: DataFrame) -> DataFrame:
     def index(c: Column) -> Column:
         return F.floor(c / _SNAP_CELL)
 
-    probes = positions.withColumn("__a", index(F.col("lat"))).withColumn(
-        "__o", index(F.col("lon"))
+    # Copies of a position snap alike, and of copies of a timed spot only the first counts.
+    probes = (
+        positions.select("aircraft", "lat", "lon")
+        .distinct()
+        .withColumn("__a", index(F.col("lat")))
+        .withColumn("__o", index(F.col("lon")))
     )
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    stamped = timed.where(
+        F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")), F.lit(0)) != 0
+    )
     spots = (
-        timed.where(F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")), F.lit(0)) != 0)
+        take_first(stamped, ["aircraft", "lat", "lon"], ["ord"])
         .select(
             "aircraft",
             F.col("ts").cast("timestamp").alias("t_ts"),
@@ -133,11 +155,11 @@ def snap_time(positions: DataFrame, timed: DataFrame) -> DataFrame:
         .withColumn("d2", d_lat * d_lat + d_lon * d_lon)
         .where(F.col("d2") < SNAP_D2)
     )
-    best = near.groupBy("aircraft", "position_id").agg(
+    best = near.groupBy("aircraft", "lat", "lon").agg(
         F.min_by("t_ts", F.struct("d2", "t_ord")).alias("t_ts")
     )
     return (
-        positions.join(best, ["aircraft", "position_id"], "left")
+        positions.join(best, ["aircraft", "lat", "lon"], "left")
         .withColumn("snapped_ts", F.coalesce("t_ts", F.col("ts").cast("timestamp")))
         .drop("t_ts")
     )

@@ -92,11 +92,14 @@ def test_blocking_bound_holds(spark, world):
     pairs = t.crossJoin(q).select(
         "t", "q", best_score(["k"], F.col("qk")).alias("score"),
         search.unblocked_bound(F.col("qk")).alias("bound"),
+        search.length_bound(F.col("qk"), F.length("t")).alias("sized"),
         F.arrays_overlap(
             search.site_blocking_keys(F.col("k")), search.query_blocking_keys(F.col("qk"))
         ).alias("shared"),
     )
     assert pairs.where("not shared and score > bound").collect() == []
+    assert pairs.where("not shared and t <> '' and score > sized").collect() == []
+    assert pairs.where("t <> '' and sized > bound").collect() == []
     assert pairs.where("not shared").count() > 1000
 
 

@@ -15,6 +15,7 @@ NM_PER_DEGREE = 60.0
 DEG_PER_NM = math.degrees(1.0 / EARTH_RADIUS_NM) * (1 + 1e-9)
 
 AREA_EPSILON = 1e-10
+MIN_SEGMENT_NM = 0.01
 
 
 def _rad(deg: Column) -> Column:
@@ -72,15 +73,24 @@ def with_distance(
 
 
 def with_segment_distance(
-    df: DataFrame, a: tuple[str, str], b: tuple[str, str], p: tuple[str, str], out: str
+    df: DataFrame,
+    a: tuple[str, str],
+    b: tuple[str, str],
+    p: tuple[str, str],
+    out: str,
+    method: str = "planar",
 ) -> DataFrame:
-    """Adds the distance of point ``p`` to segment ``a``-``b`` (pairs of lat/lon columns)."""
+    """Adds the distance of point ``p`` to segment ``a``-``b`` (pairs of lat/lon columns).
+
+    ``method`` finds the foot in raw degrees (planar) or from side lengths (geodesic).
+    """
+    foot = {"planar": _segment_t, "geodesic": _geodesic_t}[method]
     (a_lat, a_lon), (b_lat, b_lon), (p_lat, p_lon) = (
         tuple(F.col(c) for c in pair) for pair in (a, b, p)
     )
     t = F.col("__t")
     return _settle_arc(
-        df.withColumn("__t", _segment_t(a_lat, a_lon, b_lat, b_lon, p_lat, p_lon))
+        df.withColumn("__t", foot(a_lat, a_lon, b_lat, b_lon, p_lat, p_lon))
         .withColumn("__f_lat", a_lat + t * (b_lat - a_lat))
         .withColumn("__f_lon", a_lon + t * (b_lon - a_lon))
         .withColumn("__hav", _haversine_a(p_lat, p_lon, F.col("__f_lat"), F.col("__f_lon")))
@@ -89,18 +99,21 @@ def with_segment_distance(
     )
 
 
-def point_segment_geodesic_nm(
-    a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column, p_lat: Column, p_lon: Column
-) -> Column:
-    """Variant: the foot comes from the three great-circle side lengths."""
+def _geodesic_t(a_lat, a_lon, b_lat, b_lon, p_lat, p_lon) -> Column:
     ap = haversine_nm(a_lat, a_lon, p_lat, p_lon)
     ab = haversine_nm(a_lat, a_lon, b_lat, b_lon)
     bp = haversine_nm(b_lat, b_lon, p_lat, p_lon)
     t = _clamp01(F.try_divide(ap * ap - bp * bp + ab * ab, ab * ab * 2))
-    foot = haversine_nm(
-        a_lat + t * (b_lat - a_lat), a_lon + t * (b_lon - a_lon), p_lat, p_lon
-    )
-    return F.when(ab < 0.01, ap).otherwise(foot)
+    # Very short segments count as their start point.
+    return F.when(ab < MIN_SEGMENT_NM, F.lit(0.0)).otherwise(t)
+
+
+def point_segment_geodesic_nm(
+    a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column, p_lat: Column, p_lon: Column
+) -> Column:
+    """Variant: the foot comes from the three great-circle side lengths."""
+    t = _geodesic_t(a_lat, a_lon, b_lat, b_lon, p_lat, p_lon)
+    return haversine_nm(a_lat + t * (b_lat - a_lat), a_lon + t * (b_lon - a_lon), p_lat, p_lon)
 
 
 def in_bbox(lat: Column, lon: Column, b) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import geo
 from skyloom.functions.phonetic import TextKeys, best_score
 from skyloom.functions.procs import has_root_procs
+from skyloom.functions.records import PROC_STRUCT
 from skyloom.functions.text import js_upper_trim, moa_ident, moa_spoken, name_letters, title_case
 from skyloom.operators.ranking import locale_order, take_first
 from skyloom.operators.spatial import (
@@ -19,9 +20,6 @@ from skyloom.operators.spatial import (
 
 AREA_TYPES = ["fix", "airport", "vor", "ndb", "vfr"]
 OUT = ["region_id", "branch", "ord", "ident", "name", "type", "lat", "lon", "procs", "copy_text"]
-PROCS_TYPE = (
-    "array<struct<proc:string,type:string,airport:string,csvProc:boolean,suffix:string>>"
-)
 
 
 def circle_regions(regions: DataFrame, zoom: float) -> DataFrame:
@@ -65,7 +63,7 @@ def select_area(
         "vertices", F.lit(None).cast("array<struct<lat:double,lon:double>>")
     ) if rectangles else regions
     boxes = _boxed(boxes)
-    no_procs = F.lit(None).cast(PROCS_TYPE)
+    no_procs = F.lit(None).cast(PROC_STRUCT)
     procs = F.col("procs") if "procs" in fixes.columns else no_procs
 
     parts = [
@@ -175,3 +173,11 @@ def copy_all(selection: DataFrame, page_size: int = PAGE) -> DataFrame:
         ).alias("copy_text"),
         F.sum(item["n"]).alias("sites"),
     )
+
+
+def polygon_labels(moas: DataFrame) -> DataFrame:
+    """Label position per airspace: its area-weighted centre; airspaces without area have none."""
+    placed = moas.withColumn("c", geo.polygon_centroid(F.col("polys")))
+    return placed.where(F.col("c").isNotNull()).select(
+        "ord", "name", F.col("c")["lat"].alias("lat"), F.col("c")["lon"].alias("lon")
+    )

@@ -12,6 +12,7 @@ from skyloom.plans import oracle_parts as O  # noqa: F401
 from skyloom.plans.adapters import adapt, oracle, table
 from skyloom.plans.catalog_spatial import _KEYS, ENDS_CTE, detected
 from skyloom.plans.registry import query
+from skyloom.session import cut_lineage
 
 
 @query(
@@ -197,7 +198,7 @@ def _end_sql(end: str) -> str:
     """,
 )
 def resolve_route(spark, sf):
-    found = detected(spark, sf)
+    found = cut_lineage(detected(spark, sf))  # joined twice below
     users = adapt(spark, sf, "positions").select("aircraft").distinct()
     flights = users.select(
         F.col("aircraft").alias("flight_id"), "aircraft",

@@ -17,6 +17,7 @@ from skyloom.operators.tracks import clean_tracks
 from skyloom.plans import oracle_parts as O
 from skyloom.plans.adapters import adapt, oracle, table
 from skyloom.plans.registry import query
+from skyloom.session import cut_lineage
 
 # ---------------------------------------------------------------- phonetics
 
@@ -423,7 +424,7 @@ def area_copy_all(spark, sf):
 
 def _zones(spark, sf):
     return corridor.corridor_zones(
-        clean_tracks(adapt(spark, sf, "positions")), adapt(spark, sf, "sites"),
+        cut_lineage(clean_tracks(adapt(spark, sf, "positions"))), adapt(spark, sf, "sites"),
         moas(spark, sf), adapt(spark, sf, "fbos"),
     )
 

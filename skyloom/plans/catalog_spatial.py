@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import geo
 from skyloom.operators import airports as ap
-from skyloom.operators import corridor, spatial, thinning, tracks
+from skyloom.operators import area, corridor, spatial, thinning, tracks
 from skyloom.plans import oracle_parts as O
 from skyloom.plans.adapters import adapt, oracle
 from skyloom.plans.catalog_search import (
@@ -130,8 +130,9 @@ def point_in_first_region(spark, sf):
         from {oracle('areas')} a""",
 )
 def polygon_centroid(spark, sf):
-    m = moas(spark, sf).withColumn("c", geo.polygon_centroid(F.col("polys")))
-    return m.select("ord", "name", r6(F.col("c")["lat"]).alias("lat"), r6(F.col("c")["lon"]).alias("lon"))
+    return area.polygon_labels(moas(spark, sf)).select(
+        "ord", "name", r6("lat").alias("lat"), r6("lon").alias("lon")
+    )
 
 
 # ---------------------------------------------------------------- tracks
@@ -619,3 +620,31 @@ def zoom_thinning(spark, sf):
     return thinning.thin_for_zoom(adapt(spark, sf, "sites"), THIN_ZOOM, THIN_TILE).select(
         "tile_x", "tile_y", "ord", "ident"
     )
+
+
+@query(
+    "corridor_geodesic",
+    f"""
+    with segs as materialized (select * from {O.segments(_POINTS)} s),
+    sides as (
+      select s.*, o.ord, o.lat, o.lon,
+             {O.haversine('s.a_lat', 's.a_lon', 'o.lat', 'o.lon')} as ap,
+             {O.haversine('s.a_lat', 's.a_lon', 's.b_lat', 's.b_lon')} as ab,
+             {O.haversine('s.b_lat', 's.b_lon', 'o.lat', 'o.lon')} as bp
+      from segs s join {oracle('sites')} o
+        on o.lat between least(s.a_lat, s.b_lat) - 0.1e0 and greatest(s.a_lat, s.b_lat) + 0.1e0
+    ),
+    foot as (select *, case when ab < 0.01e0 then 0e0
+                       else greatest(0e0, least(1e0, (ap * ap - bp * bp + ab * ab) / (2 * ab * ab))) end as t from sides),
+    d as (select aircraft, ord, seg,
+                 {O.haversine('lat', 'lon', '(a_lat + t * (b_lat - a_lat))', '(a_lon + t * (b_lon - a_lon))')} as d
+          from foot)
+    select aircraft, ord, round(min(d), 6) as distance from d group by aircraft, ord having min(d) <= 5
+    """,
+)
+def corridor_geodesic(spark, sf):
+    segs = tracks.track_segments(tracks.clean_tracks(adapt(spark, sf, "positions")))
+    near = corridor.nearest_segments(
+        segs, adapt(spark, sf, "sites"), 5.0, ["ord"], method="geodesic"
+    )
+    return near.select("aircraft", "ord", r6("distance").alias("distance"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ MEMBERS = {
 
 LINE_SCHEMA = "archive string, member string, line_no bigint, line string"
 BATCH_LINES = 20_000
+BATCH_ITEMS = 500
 
 
 def read_archive(
@@ -34,15 +36,10 @@ def read_archive(
     """
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        want = re.compile(member_regex, re.IGNORECASE)
-        skip = re.compile(exclude_regex, re.IGNORECASE) if exclude_regex else None
         for batch in batches:
             for path_, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as bundle:
-                    names = [
-                        n for n in bundle.namelist()
-                        if want.search(n) and not (skip and skip.search(n))
-                    ]
+                    names = _matching(bundle, member_regex, exclude_regex)
                     if not names:
                         continue
                     with bundle.open(names[0]) as raw:
@@ -60,6 +57,14 @@ def read_archive(
     return files.mapInPandas(lines, LINE_SCHEMA)
 
 
+def _matching(bundle: zipfile.ZipFile, want: str, skip: str | None) -> list[str]:
+    return [
+        n for n in bundle.namelist()
+        if re.search(want, n, re.IGNORECASE)
+        and not (skip and re.search(skip, n, re.IGNORECASE))
+    ]
+
+
 def _frame(archive: str, member: str, rows: list[tuple[int, str]]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=["line_no", "line"])
     frame.insert(0, "member", member)
@@ -79,13 +84,35 @@ def read_member(spark: SparkSession, path: str, feed: str) -> DataFrame:
     )
 
 
-def member_text(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """A whole JSON member as one ``text`` per archive (a JSON document cannot be cut)."""
+def read_items(spark: SparkSession, path: str, feed: str) -> DataFrame:
+    """Items of a JSON member, one row each: ``ord`` (source order) and ``item`` (JSON text).
+
+    A feature collection gives its features, an array its elements. The document is taken apart
+    by the task that opens the archive, so it never travels as a whole.
+    """
     want, skip = MEMBERS[feed]
-    lines = read_archive(spark, path, want, skip)
-    item = F.struct("line_no", "line")
-    return lines.groupBy("archive").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(item)), lambda r: r["line"]), "\n"
-        ).alias("text")
+
+    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path_, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as bundle:
+                    names = _matching(bundle, want, skip)
+                    if not names:
+                        continue
+                    with bundle.open(names[0]) as raw:
+                        doc = json.load(raw)
+                    rows = doc.get("features") or [] if isinstance(doc, dict) else doc
+                    for start in range(0, len(rows), BATCH_ITEMS):
+                        part = rows[start : start + BATCH_ITEMS]
+                        yield pd.DataFrame(
+                            {
+                                "file": path_,
+                                "seq": range(start, start + len(part)),
+                                "item": [json.dumps(r) for r in part],
+                            }
+                        )
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(items, "file string, seq bigint, item string").select(
+        F.struct("file", F.lit(0).cast("bigint").alias("block"), "seq").alias("ord"), "item"
     )

@@ -288,23 +288,9 @@ def read_moas(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return features_to_moas(features)
 
 
-def moas_from_text(docs: DataFrame) -> DataFrame:
-    """Airspaces from whole documents (columns archive, text)."""
-    features = docs.select(
-        F.col("archive").alias("file"),
-        F.posexplode(F.from_json("text", f"struct<features:array<{FEATURE}>>")["features"]).alias(
-            "seq", "feature"
-        ),
-    )
-    return features_to_moas(
-        features.select(
-            F.struct(
-                "file", F.lit(0).cast("bigint").alias("block"),
-                F.col("seq").cast("bigint").alias("seq"),
-            ).alias("ord"),
-            "feature",
-        )
-    )
+def moas_from_items(items: DataFrame) -> DataFrame:
+    """Airspaces from JSON features (columns ord, item)."""
+    return features_to_moas(items.select("ord", F.from_json("item", FEATURE).alias("feature")))
 
 
 FBO = "name string, icao string, lat double, lon double"
@@ -323,18 +309,9 @@ def read_fbos(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     )
 
 
-def fbos_from_text(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("archive").alias("file"),
-        F.posexplode(
-            F.from_json("text", "array<struct<name:string,icao:string,lat:double,lon:double>>")
-        ).alias("seq", "f"),
-    ).select(
-        F.struct(
-            "file", F.lit(0).cast("bigint").alias("block"), F.col("seq").cast("bigint").alias("seq")
-        ).alias("ord"),
-        "f.*",
-    )
+def fbos_from_items(items: DataFrame) -> DataFrame:
+    """FBOs from JSON objects (columns ord, item)."""
+    return items.select("ord", F.from_json("item", FBO).alias("f")).select("ord", "f.*")
 
 
 def prefer_primary(primary: DataFrame, bundled: DataFrame) -> DataFrame:

@@ -121,9 +121,10 @@ def test_archives(spark, tmp_path):
     assert [r.line for r in lines.orderBy("src").collect()] == RECORDS.splitlines()
     nav = archives.read_member(spark, str(tmp_path / "records.zip"), "navaids")
     assert feeds.navaids(feeds.without_header(nav)).count() == 2
-    docs = archives.member_text(spark, str(tmp_path / "areas.zip"), "moas")
-    check_moas(feeds.moas_from_text(docs).orderBy("ord").collect())
-    assert feeds.fbos_from_text(archives.member_text(spark, str(tmp_path / "areas.zip"), "fbos")).count() == 1
+    items = archives.read_items(spark, str(tmp_path / "areas.zip"), "moas")
+    check_moas(feeds.moas_from_items(items).orderBy("ord").collect())
+    fbos = feeds.fbos_from_items(archives.read_items(spark, str(tmp_path / "areas.zip"), "fbos"))
+    assert [(r.name, r.icao, r.lat) for r in fbos.collect()] == [("One", "KLAX", 1.5)]
     assert archives.read_member(spark, str(tmp_path / "areas.zip"), "vfr").count() == 0
 
 

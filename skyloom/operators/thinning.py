@@ -22,7 +22,7 @@ from skyloom.functions.text import to_fixed
 from skyloom.operators.ranking import take_first
 from skyloom.session import cut_lineage
 
-FOLD_LIMIT = 500
+FOLD_LIMIT = 3000
 
 # Same-name distances in degrees (fixes, all others).
 FIX_DEG, OTHER_DEG = 0.5, 0.05

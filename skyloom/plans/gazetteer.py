@@ -9,6 +9,7 @@ from skyloom.functions.procs import is_us
 from skyloom.functions.records import PROC_STRUCT
 from skyloom.operators.airports import airport_keys, airport_list
 from skyloom.operators.thinning import proximity_dedup
+from skyloom.session import cut_lineage
 from skyloom.sources import feeds
 
 FIX = ["src", "ident", "lat", "lon", "type", "name", "airport", "procs", "source"]
@@ -89,7 +90,8 @@ def build_gazetteer(
         feeds.waypoints(feeds.without_header(waypoint_lines)),
         feeds.vfr_points(feeds.without_header(vfr_lines)),
     )
-    return with_ord(union).select(
+    # Numbering reads its input twice (block sizes, then rows), so the union is written first.
+    return with_ord(cut_lineage(union)).select(
         "ord", "ident", "lat", "lon", "type", "name", "airport", "procs", "source"
     )
 

@@ -23,6 +23,8 @@ def build_session(app: str = "skyloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         STATE_PROVIDER: ROCKSDB,
+        # Many distinct plans run in one session; the default of 100 entries recompiles them.
+        "spark.sql.codegen.cache.maxEntries": "2000",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }

@@ -34,14 +34,14 @@ def sites(seed, n=400):
     return rows
 
 
-@pytest.mark.parametrize("limit", [500, 10])
+@pytest.mark.parametrize("limit", [3000, 10])
 def test_proximity_dedup_is_the_ordered_fold(spark, limit):
     rows = sites(1)
     got = thinning.proximity_dedup(spark.createDataFrame(rows, SITES), fold_limit=limit)
     assert sorted(r.ord for r in got.collect()) == sorted(greedy(rows))
 
 
-@pytest.mark.parametrize("limit", [500, 10])
+@pytest.mark.parametrize("limit", [3000, 10])
 def test_zoom_thinning_is_the_ordered_fold(spark, limit):
     rows = sites(2, 250)
     df = spark.createDataFrame(rows, SITES)

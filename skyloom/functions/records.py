@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skyloom.functions.text import SPACE, js_trim, null_if_empty
+from skyloom.functions.text import SPACE, js_trim
 
 # Coordinate block and ident shapes of the fixed-width format.
 COORD_PATTERN = r"[NS]\d{8}[EW]\d{9}"
-IDENT_PATTERN = "^[A-Z]{2,5}$"
 PADDED_IDENT = r"^\s*(?!RW)[A-Z]{2,5}\s*$"
 FIVE_LETTER_IDENT = "^[A-Z]{5}$"
 AIRPORT_PATTERN = "^[A-Z0-9]{3,4}$"
@@ -28,10 +27,6 @@ def field(line: Column, start: int, end: int) -> Column:
     return F.substring(line, start + 1, end - start)
 
 
-def coord_block(line: Column) -> Column:
-    return null_if_empty(F.regexp_extract(line, COORD_PATTERN, 0))
-
-
 def arinc_lat(block: Column) -> Column:
     deg = field(block, 1, 3).try_cast("double")
     minute = field(block, 3, 5).try_cast("double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import geo
 from skyloom.functions.phonetic import TextKeys, best_score
-from skyloom.functions.text import js_upper_trim, null_if_empty, round1
+from skyloom.functions.text import js_upper_trim, round1
 from skyloom.operators.ranking import take_first
 from skyloom.operators.spatial import BOX, nearest_join, within_radius_join
 from skyloom.operators.tracks import end_points, track_boxes
@@ -22,8 +22,6 @@ MIN_WORD = 3
 # Airport types that take part in spatial look-ups.
 LISTED_TYPES = ["large_airport", "medium_airport", "small_airport"]
 
-INFO = ["icao", "iata", "name", "city", "country"]
-
 
 def airport_keys(airports_src: DataFrame) -> DataFrame:
     """One row per look-up key (ident, gps, local, iata): the first source row wins a key.
@@ -158,7 +156,3 @@ def origin_destination(
         F.max(F.when(F.col("end") == "origin", F.col("nearest"))).alias("origin"),
         F.max(F.when(F.col("end") == "destination", F.col("nearest"))).alias("destination"),
     )
-
-
-def blank_to_null(c: str) -> Column:
-    return null_if_empty(js_upper_trim(F.col(c)))

@@ -181,6 +181,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def will_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own size check lets it broadcast this side."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    return estimated_bytes(df) <= conf.autoBroadcastJoinThreshold()
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys holding more than 1/HOT_KEYS of the rows, with the number of salts to use.
 
@@ -206,12 +212,13 @@ def salted_join(
     """Equi-join that deals rows of hot keys of ``split`` out over several salts.
 
     Inputs estimated below ``check_bytes`` are joined as they are: their largest key fits a
-    task. Above, one pass over the join keys finds the hot ones. The salt is a hash of the row's
+    task. So are inputs whose other side Spark will broadcast, since nothing is shuffled by key
+    then. Otherwise one pass over the join keys finds the hot ones. The salt is a hash of the row's
     own id columns, so a recomputed task deals its rows out the same way. Skewed shuffle
     partitions that remain are split by adaptive execution.
     """
     limit = SALT_CHECK_BYTES if check_bytes is None else check_bytes
-    if split.isStreaming or estimated_bytes(split) < limit:
+    if split.isStreaming or estimated_bytes(split) < limit or will_broadcast(copied):
         return split.join(copied, list(keys), how)
     hot = F.broadcast(hot_keys(split, keys))
     dealt = split.join(hot, list(keys), "left").withColumn(

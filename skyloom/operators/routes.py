@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.functions.text import js_upper_trim, norm_airport_code, null_if_empty
+from skyloom.functions.text import js_upper_trim, norm_airport_code
 from skyloom.functions.web import (
     HISTORY_LINK,
     airline_name,
@@ -256,9 +256,3 @@ def airport_page_info(pages: DataFrame) -> DataFrame:
     return asked.withColumn("i", info).select(
         *[c for c in asked.columns if c != "html"], "i.name", "i.location", "i.is_found"
     )
-
-
-__all__ = [
-    "airlines", "airport_page_info", "enrich_airport", "extract_routes", "gps_flights",
-    "match_route", "null_if_empty", "resolve_route", "route_asof",
-]

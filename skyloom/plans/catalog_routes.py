@@ -8,7 +8,6 @@ from skyloom.functions.text import null_if_empty
 from skyloom.functions.web import strip_tags
 from skyloom.operators import routes
 from skyloom.operators.airports import airport_keys
-from skyloom.plans import oracle_parts as O  # noqa: F401
 from skyloom.plans.adapters import adapt, oracle, table
 from skyloom.plans.catalog_spatial import _KEYS, ENDS_CTE, detected
 from skyloom.plans.registry import query

@@ -19,8 +19,6 @@ IDENT, PROC_CODE, PROC_FIX = (13, 18), (13, 19), (29, 34)
 NAME, NAME_MIN_LENGTH, AIRPORT_MIN_LENGTH = (93, 123), 93, 10
 MIN_COLUMNS = 5
 
-SRC_TYPE = "struct<file:string,block:bigint,seq:bigint>"
-
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their source order; files are split over tasks as usual."""

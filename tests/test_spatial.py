@@ -13,6 +13,7 @@ def always_salt(monkeypatch):
     """Look for hot keys whatever the input size."""
     monkeypatch.setattr(grid, "SALT_CHECK_BYTES", 0)
     monkeypatch.setattr(grid, "HOT_KEYS", 7)
+    monkeypatch.setattr(grid, "will_broadcast", lambda df: False)
 
 
 def world_points(n, seed, spread=True):
@@ -174,6 +175,19 @@ def test_point_in_area(spark):
     )
 
 
+def test_point_in_polygon(spark):
+    rng = random.Random(10)
+    shape = [(rng.uniform(0, 8), rng.uniform(0, 8)) for _ in range(7)]
+    polys = spark.createDataFrame(
+        [(0, shape), (1, shape[:2])], "region_id int, vertices array<struct<lat:double,lon:double>>"
+    )
+    pts = [(i, rng.uniform(-1, 9), rng.uniform(-1, 9)) for i in range(200)]
+    got = spatial.point_in_polygon_join(frame(spark, pts, ["ord", "lat", "lon"]), polys)
+    ring = [[a, b] for a, b in shape]
+    want = [i for i, lat, lon in pts if ring_hit(lon, lat, ring)]
+    assert sorted((r.region_id, r.ord) for r in got.collect()) == [(0, i) for i in want]
+
+
 FIX = "ord int, ident string, name string, type string, lat double, lon double"
 
 

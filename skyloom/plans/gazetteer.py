@@ -55,19 +55,27 @@ def union_feeds(
 def with_ord(fixes: DataFrame) -> DataFrame:
     """Dense BIGINT ``ord`` over (feed, source position).
 
-    Numbered per source block, with block offsets added, so no single task sees all rows.
+    Numbered per source block, with the sizes of earlier blocks and files added, so no single
+    task sees all rows.
     """
     feed = F.array_position(F.array(*[F.lit(f) for f in FEED_ORDER]), F.col("source"))
     placed = fixes.withColumn("__feed", feed).withColumn("__file", F.col("src.file")).withColumn(
         "__block", F.floor(F.col("src.seq") / 100_000)
     ).withColumn("__start", F.col("src.block"))
-    block = ["__feed", "__file", "__start", "__block"]
+    file, place = ["__feed", "__file"], ["__start", "__block"]
+    block = [*file, *place]
     sizes = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
-    # One row per 100,000 source lines.
-    before = F.sum("n").over(
-        Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.unboundedPreceding
+    in_file = Window.partitionBy(*file).orderBy(*place).rowsBetween(earlier, -1)
+    # The only scan over everything sees one row per source file.
+    files = sizes.groupBy(*file).agg(F.sum("n").alias("n"))
+    all_files = Window.orderBy(*file).rowsBetween(earlier, -1)
+    starts = files.select(*file, F.coalesce(F.sum("n").over(all_files), F.lit(0)).alias("s"))
+    offsets = (
+        sizes.withColumn("b", F.coalesce(F.sum("n").over(in_file), F.lit(0)))
+        .join(starts, file)
+        .select(*block, (F.col("s") + F.col("b")).alias("__before"))
     )
-    offsets = sizes.select(*block, F.coalesce(before, F.lit(0)).alias("__before"))
     rank = F.row_number().over(Window.partitionBy(*block).orderBy("src"))
     return (
         placed.withColumn("__rn", rank)

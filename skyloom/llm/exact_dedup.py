@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import ascii_lower, constant, written
+from skyloom.llm.common import ascii_lower, constant, kept_rows, written
 
 
 def split_directory(spans: list[tuple[int, int, int]], capacity: int) -> tuple[int, list[int], int]:
@@ -151,20 +151,6 @@ def _tasks(spark) -> int:
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs that exact_copies keeps, with all their columns.
-
-    Rows go by (id, digest) in an anti join; of rows that repeat both, one stays.
-    """
-    found = exact_copies(docs, id_col=id_col, text_col=text_col, **settings)
-    by_id = found.filter("group_size > 1").groupBy("doc_id", "text_sha256").agg(
-        F.max("kept").alias("kept"), F.count("*").alias("rows")
-    )
-    by_id = written(by_id.filter("not kept or rows > 1"), "leaving").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kept").alias("_again")
-    )
-    digest = F.sha2(ascii_lower(F.col(text_col)), 256)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_sha"))
-    once = docs.join(by_id, same, "left_anti")
-    again = docs.join(by_id.filter("_again"), same, "left_semi")
-    again = again.withColumn("_sha", digest).dropDuplicates([id_col, "_sha"]).drop("_sha")
-    return once.unionByName(again.select(*docs.columns))
+    """The rows of docs that exact_copies keeps, with all their columns."""
+    found = exact_copies(docs, id_col=id_col, text_col=text_col, **settings).filter("group_size > 1")
+    return kept_rows(docs, found, id_col, F.sha2(ascii_lower(F.col(text_col)), 256), "text_sha256")

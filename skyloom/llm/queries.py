@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import decontaminate, exact_dedup, sharding
+from skyloom.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    minhash,
+    packing,
+    quality,
+    sharding,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from skyloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +43,26 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_size(table(spark, sf_dir, "documents"), shards=8)
 
 
+@query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 OP6 = f"""
 with norm as (select doc_id, sha256({LOWER.format('text')}) as text_sha256 from documents),
 ranked as (
@@ -48,6 +79,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
 
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 OP8 = f"""
 with items as (select cast(item_id as varchar) as item, {WORDS.format('text')} as w from benchmark),
 windows as (
@@ -79,3 +115,13 @@ from docs d left join words_hit using (doc_id) left join found using (doc_id)
 @query("op8_decontaminate", OP8)
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_minhash")
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(table(spark, sf_dir, "documents")).drop("t")
+
+
+@query("op10_chat")
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_roles(table(spark, sf_dir, "conversations"))

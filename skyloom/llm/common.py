@@ -24,6 +24,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text; a null text is an empty one."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(WORD_PATTERN), F.lit(0))
 

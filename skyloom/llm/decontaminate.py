@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import words_of, written
+from skyloom.llm.common import text_key, words_of, written
 
 
 def benchmark_windows(
@@ -58,13 +58,14 @@ def contamination(
     length: int = 13,
     least_in: int = 20,
     most_windows: int = 200_000,
+    with_key: bool = False,
 ) -> DataFrame:
     """One row per document: words, words hit by benchmark windows, items found, and whether contaminated.
 
     An item's windows are its runs of length words; a shorter item is one window. Containment of a whole
     window leaves a necessary prefix of one word, so only places of a window's rarest word are
     candidates. A candidate must leave room for the window on both sides (positional and length bounds)
-    before its words are compared. A document is contaminated when at least one in least_in of its
+    before its words are compared. with_key adds t, a digest of the text. A document is contaminated when at least one in least_in of its
     words is hit.
 
     Up to most_windows windows are broadcast and their rarest words filter the documents in the scan. Beyond
@@ -91,12 +92,13 @@ def contamination(
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("doc_id"),
+        *([text_key(F.col(text_col)).alias("t")] if with_key else []),
         words_of(F.col(text_col)).alias("w"),
     )
+    ids = ["row", "doc_id", *(["t"] if with_key else []), "n_words"]
     places = F.filter(F.transform("w", place), lambda x: x.isNotNull())
-    rows = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), places.alias("places"))
-    rows = rows.select("row", "doc_id", "n_words", F.explode_outer("places").alias("c"))
-    rows = rows.select("row", "doc_id", "n_words", "c.*")
+    rows = rows.select(*ids[:-1], F.size("w").cast("long").alias("n_words"), places.alias("places"))
+    rows = rows.select(*ids, F.explode_outer("places").alias("c")).select(*ids, "c.*")
     if few:
         found = rows.join(F.broadcast(windows), "token", "left")
     else:
@@ -110,13 +112,11 @@ def contamination(
     same = F.slice("context", F.col("before") - F.col("offset") + 1, F.size("win")) == F.col("win")
     hit = F.when(fits, same)
     found = found.select(
-        "row",
-        "doc_id",
-        "n_words",
+        *ids,
         F.when(hit, F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))).alias("span"),
         F.when(hit, F.col("items")).alias("items"),
     )
-    documents = found.groupBy("row", "doc_id", "n_words").agg(
+    documents = found.groupBy(*ids).agg(
         F.array_sort(F.collect_set("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -131,11 +131,17 @@ def contamination(
         lambda a: a["hit"],
     )
     return documents.select(
-        "doc_id",
-        "n_words",
+        *ids[1:],
         covered.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
     ).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least_in >= F.col("n_words"))
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **settings) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns. Equal texts share one verdict."""
+    found = contamination(docs, items, text_col=text_col, with_key=True, **settings).filter("contaminated")
+    leaving = written(found.select(F.col("t").alias("_t")).distinct(), "contaminated")
+    return docs.join(leaving, text_key(F.col(text_col)) == F.col("_t"), "left_anti")

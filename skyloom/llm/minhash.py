@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import kept_rows, written
+from skyloom.llm.common import kept_rows, text_key, written
 
 U = np.uint64
 WORD_BYTE = np.zeros(256, dtype=bool)
@@ -220,7 +220,7 @@ def near_copies(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(
-        F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_key(text).alias("t"), text.alias("text")
+        F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_key(F.col(text_col)).alias("t"), text.alias("text")
     )
     kind = texts.schema["doc_id"].dataType.simpleString()
     sketch = written(
@@ -282,10 +282,6 @@ def near_copies(
     )
 
 
-def text_key(text):
-    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
-
-
 def _with_roots(crowded: DataFrame, roots: DataFrame) -> DataFrame:
     found = crowded.join(roots.withColumnRenamed("node", "t"), "t", "left")
     return written(found.select("key", "t", "n", F.coalesce("root", "t").alias("root")), "rooted")
@@ -322,4 +318,4 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs that near_copies keeps, with all their columns."""
     found = near_copies(docs, id_col=id_col, text_col=text_col, **settings).filter("class_size > 1")
-    return kept_rows(docs, found, id_col, text_key(F.coalesce(F.col(text_col), F.lit(""))), "t")
+    return kept_rows(docs, found, id_col, text_key(F.col(text_col)), "t")

@@ -68,18 +68,27 @@ def count_at_most(bounds: Column, n: int, key: Column) -> Column:
     )
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def kept_rows(docs: DataFrame, found: DataFrame, id_col: str, digest: Column, digest_col: str) -> DataFrame:
     """docs without the rows that found (doc_id, digest_col, kept) lets go; rows missing in found stay.
 
     The few (id, digest) that leave meet the documents in an anti join. Of rows that repeat a kept pair, one
     stays.
     """
+    name, mark = unused(docs, "_id"), unused(docs, "_digest")
+    again = unused(docs, "_again")
     by_id = found.groupBy("doc_id", digest_col).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     by_id = written(by_id.filter("not kept or rows > 1"), "leaving").select(
-        F.col("doc_id").alias("_id"), F.col(digest_col).alias("_digest"), F.col("kept").alias("_again")
+        F.col("doc_id").alias(name), F.col(digest_col).alias(mark), F.col("kept").alias(again)
     )
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    same = F.col(id_col).eqNullSafe(F.col(name)) & (digest == F.col(mark))
     once = docs.join(by_id, same, "left_anti")
-    again = docs.join(by_id.filter("_again"), same, "left_semi").withColumn("_digest", digest)
-    again = again.dropDuplicates([id_col, "_digest"]).select(*docs.columns)
-    return once.unionByName(again)
+    repeated = docs.join(by_id.filter(F.col(again)), same, "left_semi").withColumn(mark, digest)
+    return once.unionByName(repeated.dropDuplicates([id_col, mark]).drop(mark))

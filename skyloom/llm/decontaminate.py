@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import text_key, words_of, written
+from skyloom.llm.common import text_key, unused, words_of, written
 
 
 def benchmark_windows(
@@ -143,5 +143,6 @@ def contamination(
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns. Equal texts share one verdict."""
     found = contamination(docs, items, text_col=text_col, with_key=True, **settings).filter("contaminated")
-    leaving = written(found.select(F.col("t").alias("_t")).distinct(), "contaminated")
-    return docs.join(leaving, text_key(F.col(text_col)) == F.col("_t"), "left_anti")
+    key = unused(docs, "_t")
+    leaving = written(found.select(F.col("t").alias(key)).distinct(), "contaminated")
+    return docs.join(leaving, text_key(F.col(text_col)) == F.col(key), "left_anti")

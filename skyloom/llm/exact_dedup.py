@@ -108,8 +108,9 @@ def exact_copies(
     same_bytes = (
         docs.select(key(norm).alias("h"), norm.alias("norm"))
         .join(shared, "h", "left_semi")
-        .groupBy("h", "norm")
-        .agg(F.count("*").alias("n"))
+        # Not by h: so the join may split a hot key, and its texts are combined before they move on.
+        .groupBy("norm")
+        .agg(F.count("*").alias("n"), F.first("h").alias("h"))
         .groupBy("h", F.sha2("norm", 256).alias("text_sha256"))
         .agg(F.count("*").alias("texts"), F.sum("n").alias("copies"))
     )

@@ -1,0 +1,266 @@
+"""Exact copies, near copies and benchmark windows against brute force."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skyloom.llm import decontaminate, exact_dedup, minhash
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+UPPER = {c: c + 32 for c in range(65, 91)}
+#: Names that operators use inside, as columns of the documents.
+CLASHES = ["row", "h", "t", "n", "w", "key", "_id", "_digest", "_again", "kept", "perplexity", "ROOT", "_t", "bands"]
+
+
+def documents(spark, rows):
+    """rows: (doc_id, text); other columns carry the names used inside."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    return spark.createDataFrame([(*r, "en", "s", 1, *["x"] * len(CLASHES)) for r in rows], schema)
+
+
+def lowered(text):
+    return (text or "").translate(UPPER)
+
+
+def words(text):
+    return WORDS.findall(lowered(text))
+
+
+PROSE = "the quick brown fox jumps over a lazy dog while seven wizards mix potent jugs of ink for their old queen".split()
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(PROSE) + str(rng.randrange(50)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def edge_rows():
+    rng = random.Random(5)
+    base = sentence(rng, 60)
+    near = base.split()
+    near[30] = "changed"
+    long = sentence(rng, 30_000)
+    return [
+        (1, base), (2, base.upper()), (3, base), (3, base), (4, " ".join(near)), (5, None), (6, ""), (7, None), (None, base),
+        (None, "alone"), (8, long), (9, long + " end"), (10, "Ä ä É é ß"), (11, "ä Ä é É ß"), (12, "few words"),
+        (12, "few words"), (13, "few words here"), (14, sentence(rng, 80)), (15, "…—!?"), (16, "漢字 かな 漢字"),
+    ]
+
+
+def brute_exact(rows):
+    groups = defaultdict(list)
+    for i, (d, t) in enumerate(rows):
+        groups[lowered(t)].append((d, i))
+    out = []
+    for text, members in groups.items():
+        top = max((d for d, _ in members if d is not None), default=None)
+        stays = sorted((d == top for d, _ in members), reverse=True)
+        assert stays[0]
+        sha = hashlib.sha256(text.encode()).hexdigest()
+        first = True
+        for d, _ in members:
+            kept = d == top and first
+            first = first and not kept
+            out.append((d, top, len(members), kept, sha))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_copies(spark, edge_rows, weak):
+    rng = random.Random(3)
+    rows = edge_rows + [(100 + i, f"text {rng.randrange(150)}") for i in range(400)]
+    # A weak key puts many texts on one key: chains of different bytes.
+    key = (lambda c: F.pmod(F.xxhash64(c), F.lit(7))) if weak else F.xxhash64
+    found = exact_dedup.exact_copies(documents(spark, rows), key=key, capacity=20, step=2, most_bits=10)
+    assert found.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert Counter(map(tuple, found.collect())) == brute_exact(rows)
+
+
+def test_exact_copies_with_one_hot_text(spark):
+    rows = [(i, "hot text" if i % 3 == 0 else f"text {i}") for i in range(3000)]
+    found = exact_dedup.exact_copies(documents(spark, rows))
+    assert Counter(map(tuple, found.collect())) == brute_exact(rows)
+
+
+def test_drop_copies_keeps_rows_and_columns(spark, edge_rows):
+    docs = documents(spark, edge_rows)
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns
+    expected = Counter((d, sha) for (d, _, _, k, sha), n in brute_exact(edge_rows).items() for _ in range(n) if k)
+    got = Counter((r["doc_id"], hashlib.sha256(lowered(r["text"]).encode()).hexdigest()) for r in kept.collect())
+    assert got == expected
+    assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
+    assert exact_dedup.exact_copies(docs.limit(0)).count() == 0
+
+
+def test_directory_doubles_only_where_needed():
+    spans = [(p, 4, 10 if p == 5 else 1) for p in range(16)]
+    depth, slots, n = exact_dedup.split_directory(spans, 4)
+    assert depth == 4 and len(slots) == 16
+    held = Counter()
+    for (p, _, c) in spans:
+        held[slots[p]] += c
+    assert n == len(set(slots)) and sorted(held.values())[-1] == 10
+    assert all(c <= 4 for b, c in held.items() if b != slots[5])
+    assert slots[8] == slots[9]
+
+
+def shingles(text, k=5):
+    w = words(text)
+    if len(w) < k:
+        return frozenset([tuple(w)]) if w else frozenset()
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+
+def brute_classes(rows):
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        linked = both >= 0.8 * len(sets[i] | sets[j]) - 1e-9 if sets[i] and sets[j] else (rows[i][1] or "") == (rows[j][1] or "")
+        if linked:
+            parent[root(j)] = root(i)
+    classes = defaultdict(list)
+    for i in range(len(rows)):
+        classes[root(i)].append(rows[i][0])
+    out = Counter()
+    for ids in classes.values():
+        least = min((d for d in ids if d is not None), default=None)
+        for d in ids:
+            out[d, least, len(ids)] += 1
+    return out
+
+
+def many_near(rng):
+    rows, doc_id = [], 1000
+    for _ in range(12):
+        text = sentence(rng, rng.randrange(40, 90)).split()
+        for _ in range(rng.randrange(1, 9)):
+            other = list(text)
+            for _ in range(rng.randrange(0, 3)):
+                other[rng.randrange(len(other))] = "edit" + str(rng.randrange(99))
+            rows.append((doc_id, " ".join(other)))
+            doc_id += 1
+    return rows
+
+
+@pytest.mark.parametrize("factor", [10, -100_000])
+def test_near_copies(spark, edge_rows, factor):
+    """A factor below zero sends everything through all rounds of leaders first."""
+    rows = edge_rows + many_near(random.Random(9))
+    found = minhash.near_copies(documents(spark, rows), pair_factor=factor).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in found) == brute_classes(rows)
+    heads = Counter((r["class_id"], r["class_size"]) for r in found if r["kept"])
+    assert sum(heads.values()) == sum(1 / c * n for (_, _, c), n in brute_classes(rows).items()) // 1
+    assert all(r["doc_id"] == r["class_id"] for r in found if r["kept"])
+
+
+def test_near_copies_in_one_large_group(spark):
+    rng = random.Random(2)
+    text = sentence(rng, 100).split()
+    rows = []
+    for i in range(300):
+        other = list(text)
+        for _ in range(3):
+            other[rng.randrange(100)] = f"e{i}x{rng.randrange(9)}"
+        rows.append((i, " ".join(other)))
+    rows += [(1000 + i, sentence(rng, 50)) for i in range(300)]
+    found = minhash.near_copies(documents(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in found) == brute_classes(rows)
+
+
+def test_drop_near_copies(spark, edge_rows):
+    docs = documents(spark, edge_rows)
+    kept = minhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    found = minhash.near_copies(docs).filter("kept").collect()
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in found)
+    assert minhash.near_copies(docs.limit(0)).count() == 0
+    assert minhash.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_signatures_estimate_probability_jaccard():
+    rng = np.random.default_rng(1)
+    a, b = np.arange(60), np.arange(20, 80)
+    wa, wb = rng.uniform(0.5, 4, 60), rng.uniform(0.5, 4, 60)
+    pa, pb = dict(zip(a, wa, strict=True)), dict(zip(b, wb, strict=True))
+    exact = sum(
+        1 / sum(max(pa.get(j, 0) / pa[i], pb.get(j, 0) / pb[i]) for j in {*pa, *pb}) for i in pa.keys() & pb.keys()
+    )
+    agree = []
+    for trial in range(40):
+        h = minhash.mixed(np.arange(80, dtype=np.uint64) + np.uint64(1 + trial * 1000))
+        owner = np.concatenate([np.zeros(60, int), np.ones(60, int)])
+        sig = minhash.prob_minhash(owner, np.concatenate([h[a], h[b]]), np.concatenate([wa, wb]), 2, 125)
+        agree.append((sig[0] == sig[1]).mean())
+    assert abs(np.mean(agree) - exact) < 0.02
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.range(200).selectExpr("id as a", "id + 1 as b").union(spark.range(500, 510).selectExpr("id as a", "500 as b"))
+    edges = edges.filter("a != b")
+    roots = {r["node"]: r["root"] for r in minhash.components(edges).collect()}
+    assert roots == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(500, 510), 500)}
+
+
+def brute_contamination(rows, items):
+    windows = defaultdict(set)
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[i : i + 13])].add(item)
+    out = Counter()
+    for d, text in rows:
+        w = words(text)
+        hit, found = set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit.update(range(i, i + n))
+                    found |= windows[tuple(w[i : i + n])]
+        names = sorted(str(x) for x in found if x is not None)
+        sha = hashlib.sha256(",".join(names).encode()).hexdigest()
+        out[d, len(w), len(hit), len(names), sha, bool(hit) and 20 * len(hit) >= len(w)] += 1
+    return out
+
+
+@pytest.mark.parametrize("most_windows", [200_000, 0])
+def test_contamination(spark, edge_rows, most_windows):
+    rng = random.Random(8)
+    items = [(i, sentence(rng, rng.randrange(5, 40))) for i in range(20)]
+    items += [(20, items[3][1]), (21, "fox1"), (22, None), (23, ""), (None, items[4][1]), (24, items[5][1]), (24, items[5][1]),
+              (25, "the the the"), (26, "Ä ä")]
+    rows = list(edge_rows) + [(200, None)]
+    for i in range(60):
+        w = items[rng.randrange(20)][1].split()
+        cut = rng.randrange(len(w))
+        rows.append((300 + i, f"{sentence(rng, rng.randrange(120))} {' '.join(w[cut:] if i % 2 else w)}, {sentence(rng, 9)}"))
+    rows += [(400, "the " * 50), (400, "the " * 50), (401, items[0][1].upper())]
+    bench = spark.createDataFrame([(*x, "c") for x in items], "item_id bigint, text string, doc_id string")
+    found = decontaminate.contamination(documents(spark, rows), bench, most_windows=most_windows)
+    assert Counter(map(tuple, found.collect())) == brute_contamination(rows, items)
+    kept = decontaminate.drop_contaminated(documents(spark, rows), bench, most_windows=most_windows)
+    clean = Counter({k[0]: 0 for k in brute_contamination(rows, items)})
+    for k, n in brute_contamination(rows, items).items():
+        clean[k[0]] += 0 if k[-1] else n
+    assert Counter(r["doc_id"] for r in kept.collect()) == +clean
+
+
+def test_contamination_of_empty_tables(spark, edge_rows):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    docs = documents(spark, edge_rows)
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+    found = decontaminate.contamination(docs, bench.limit(0)).collect()
+    assert len(found) == len(edge_rows) and not any(r["contaminated"] for r in found)

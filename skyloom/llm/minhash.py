@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,6 +117,15 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def nibbles(signature: np.ndarray) -> np.ndarray:
+    """4 bits of each place, 16 places to a number; empty places at the end are equal for all."""
+    texts, size = signature.shape
+    padded = np.zeros((texts, -(-size // 16) * 16), U)
+    padded[:, :size] = mixed(signature) & U(15)
+    shifts = (np.arange(16, dtype=U) * U(4))[None, None, :]
+    return np.bitwise_or.reduce(padded.reshape(texts, -1, 16) << shifts, axis=2).view(np.int64)
+
+
 def _portions(batch: pa.RecordBatch, most_bytes: int = 1_500_000, most_rows: int = 2000):
     """Slices of a batch of bounded size, with their texts."""
     begin, held, texts = 0, 0, []
@@ -143,13 +154,15 @@ def _sketch(words: int, bands: int, rows: int):
                 sig = prob_minhash(owner, hashes, 1 + np.log(count), len(texts), bands * rows)
                 n = np.bincount(owner, minlength=len(texts))
                 keys = band_keys(sig, bands, rows)[n > 0]
+                bits = nibbles(sig)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in ("doc_id", "row", "t")),
                         pa.array(n, pa.int64()),
                         _lists(keys.ravel(), np.where(n > 0, bands, 0)),
+                        _lists(bits.ravel(), np.full(len(texts), bits.shape[1])),
                     ],
-                    names=["doc_id", "row", "t", "n", "bands"],
+                    names=["doc_id", "row", "t", "n", "bands", "bits"],
                 )
 
     return run
@@ -200,74 +213,66 @@ def near_copies(
     similarity: float = 0.8,
     bands: int = 25,
     rows: int = 5,
-    pair_factor: int = 10,
+    block: int = 256,
 ) -> DataFrame:
     """One row per input row: its id, the id and size of its class, and whether it is the row that stays.
 
     Texts are linked when the Jaccard similarity of their sets of word shingles is at least similarity;
     classes are the connected components, named after their least id. Signatures weigh a shingle by
     1 + ln(count) (probability Jaccard); bands * rows places give candidates: a pair at 0.8 is missed
-    with a probability of 5e-5. Every link is verified on the whole shingle sets.
+    with a probability of 5e-5. Of them, pairs stay whose sizes allow the similarity and whose signatures, 4 bits a
+    place, estimate no less than five standard errors below it. Every link is verified on the whole shingle sets.
 
-    Equal texts are one node, so copies never meet each other. In a bucket of the banding, all members are
-    verified against one leader first, and the links contracted to components; what is left, pairs of one
-    bucket in different components, is verified pair by pair. When that would be more than pair_factor
-    pairs for each text, further rounds with other leaders come first. No bucket is cut.
+    Equal texts are one node, so copies never meet each other. In a bucket of the banding all members are
+    verified against one leader first, and the links contracted to components. Members that still have a candidate
+    in another component are verified block against block within their bucket, in bounded groups that give back
+    no more links than members. No bucket is cut.
 
     A null text is an empty text; texts without words are linked with equal texts only. A null id names a class
     only if it has no other. Of rows that repeat id and text, one stays. An empty table gives no rows.
     Other columns are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(
-        F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_key(F.col(text_col)).alias("t"), text.alias("text")
+        F.col(id_col).alias("doc_id"),
+        F.monotonically_increasing_id().alias("row"),
+        text_key(F.col(text_col)).alias("t"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     kind = texts.schema["doc_id"].dataType.simpleString()
     sketch = written(
         texts.mapInArrow(
-            _sketch(words, bands, rows), f"doc_id {kind}, row bigint, t binary, n bigint, bands array<bigint>"
+            _sketch(words, bands, rows),
+            f"doc_id {kind}, row bigint, t binary, n bigint, bands array<bigint>, bits array<bigint>",
         ),
         "sketch",
     )
-    nodes = sketch.groupBy("t").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = written(nodes.select("t", "n", F.explode("bands").alias("key")), "members")
+    nodes = written(
+        sketch.groupBy("t").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes"
+    )
+    members = nodes.select("t", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    crowded = written(members.join(shared, "key"), "crowded")
+    crowded = members.join(shared, "key").join(nodes.select("t", "bits"), "t")
+    near = _near(similarity, bands * rows)
+    crowded = written(crowded.withColumn("root", F.col("t")), "crowded")
+    crowded = written(_with_partner(crowded, near), "candidates")
 
-    needed = written(crowded.select("t").distinct(), "needed")
+    # One text of each key; copies fall together before they move on.
+    needed = crowded.select("t").distinct()
     sets = written(
-        texts.select("t", "text")
-        .join(needed, "t", "left_semi")
-        .dropDuplicates(["t"])
+        texts.groupBy("t")
+        .agg(F.first("text").alias("text"))
+        .join(needed.hint("merge"), "t", "left_semi")
         .mapInArrow(_sets(words), "t binary, shingles array<bigint>"),
         "sets",
     )
-    most = pair_factor * needed.count() + 100_000
-    links, roots = None, None
-    for seed in range(4):
-        if roots is not None:
-            mixed_up = _with_roots(crowded, roots)
-            cells = mixed_up.groupBy("key", "root").agg(F.count("*").alias("c"))
-            open_keys = cells.groupBy("key").agg(
-                F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("roots")
-            )
-            open_keys = written(open_keys.filter("roots > 1"), "open")
-            left = open_keys.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("q")) / 2), F.lit(0))).first()[0]
-            if not left:
-                break
-            last = left <= most or seed == 3
-            rest = written(mixed_up.join(open_keys.select("key"), "key", "left_semi"), "rest")
-            pairs = _pairs(rest, similarity) if last else _led(rest, seed, similarity)
-        else:
-            last = False
-            pairs = _led(crowded.withColumn("root", F.col("t")), seed, similarity)
-        more = _verified(written(pairs, "pairs"), sets, similarity)
-        links = written(more if links is None else links.unionByName(more), "links")
-        roots = written(components(links), "roots")
-        if last:
-            break
-
-    classes = sketch.select("doc_id", "row", "t").join(roots.withColumnRenamed("node", "t"), "t", "left")
+    links = written(_verified(_led(crowded, near), sets, similarity), "links")
+    roots = written(components(links), "roots").withColumnRenamed("node", "t")
+    rest = crowded.drop("root").join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
+    rest = written(_with_partner(written(rest, "rooted"), near), "open")
+    more = _across_blocks(rest, sets, similarity, block)
+    roots = written(components(links.unionByName(more)), "roots").withColumnRenamed("node", "t")
+
+    classes = sketch.select("doc_id", "row", "t").join(roots, "t", "left")
     classes = written(classes.select("doc_id", "row", "t", F.coalesce("root", "t").alias("root")), "classes")
     heads = classes.groupBy("root").agg(
         F.count("*").alias("class_size"),
@@ -282,29 +287,39 @@ def near_copies(
     )
 
 
-def _with_roots(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    found = crowded.join(roots.withColumnRenamed("node", "t"), "t", "left")
-    return written(found.select("key", "t", "n", F.coalesce("root", "t").alias("root")), "rooted")
+def _near(similarity: float, places: int):
+    """Whether two rows (n, bits, root) may be similar, by sizes and signatures, and are not in one component."""
+    equal = similarity + (1 - similarity) / 16
+    error = 16 / 15 * math.sqrt(equal * (1 - equal) / places)
+    most = places * (1 - (similarity - 5 * error)) * 15 / 16
 
+    def unequal(a, b):
+        x = a.bitwiseXOR(b)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
-def _alike(similarity: float):
-    """Sets whose sizes differ by more cannot be similar."""
-    return F.least("na", "nb") >= F.greatest("na", "nb") * (similarity - 1e-9)
+    def near(a: str, b: str):
+        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+        parts = [unequal(F.get(f"{a}.bits", F.lit(i)), F.get(f"{b}.bits", F.lit(i))) for i in range(-(-places // 16))]
+        alike = F.least(na, nb) >= F.greatest(na, nb) * (similarity - 1e-9)
+        return (F.col(f"{a}.root") != F.col(f"{b}.root")) & alike & (sum(parts[1:], parts[0]) <= most)
 
+    return near
 
-def _led(rest: DataFrame, seed: int, similarity: float) -> DataFrame:
-    """Each member of a bucket with the bucket's leader, the least in an order of the round's own."""
-    lead = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "t").alias("o"), "t", "n", "root")).alias("l"))
-    met = rest.join(lead, "key").filter("root != l.root")
-    met = met.select(F.least("t", "l.t").alias("a"), F.greatest("t", "l.t").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb"))
-    return met.filter(_alike(similarity)).select("a", "b").distinct()
 
+def _with_partner(rest: DataFrame, near) -> DataFrame:
+    """The rows of buckets that have a candidate in their bucket."""
+    other = rest.select("key", "n", "bits", "root")
+    return rest.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & near("x", "y"), "left_semi")
 
-def _pairs(rest: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of a bucket that lie in different components."""
-    a = rest.select("key", F.col("t").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = rest.select("key", F.col("t").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return a.join(b, "key").filter("a < b and ra != rb").filter(_alike(similarity)).select("a", "b").distinct()
+
+def _led(rest: DataFrame, near) -> DataFrame:
+    """Each member of a bucket with the bucket's leader, the least in an order that all buckets share."""
+    lead = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("t").alias("o"), "t")).alias("l")).select("key", F.col("l.t").alias("t"))
+    lead = lead.join(rest, ["key", "t"])
+    met = rest.alias("x").join(lead.alias("y"), (F.col("x.key") == F.col("y.key")) & near("x", "y"))
+    return met.select(F.least("x.t", "y.t").alias("a"), F.greatest("x.t", "y.t").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -315,6 +330,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.filter(F.col("c") >= (F.col("na") + F.col("nb") - F.col("c")) * similarity - 1e-9).select("a", "b")
 
 
+def _across_blocks(rest: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links between components: the members of a bucket in blocks, each pair of blocks one group."""
+    tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = rest.select("key", "t", "root").join(blocks, "key").join(sets, "t")
+    own = F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "t", "root", "shingles")
+    group = ["key", "lo", "hi"]
+    rows = rows.repartition(tasks, *group).sortWithinPartitions(*group)
+    return rows.mapInPandas(_linked(similarity), "a binary, b binary").distinct()
+
+
+def _linked(similarity: float):
+    def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        """(lo, hi, own, t, root, shingles): links that join components, at most one for each member."""
+        sizes = np.array([len(r[5]) for r in rows])
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        _, at, counts = np.unique(np.concatenate([r[5] for r in rows]), return_inverse=True, return_counts=True)
+        often = counts >= 2
+        column = np.cumsum(often) - 1
+        use = often[at]
+        owner, column = owner[use], column[at[use]]
+        shared = np.zeros((len(rows), len(rows)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+            lo, hi = np.searchsorted(column, [start, start + 8192])
+            part = np.zeros((len(rows), 8192), np.float32)
+            part[owner[lo:hi], column[lo:hi] - start] = 1
+            shared += part @ part.T
+        alike = shared >= (sizes[:, None] + sizes[None, :] - shared) * similarity - 1e-6
+        parent: dict[bytes, bytes] = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for i, j in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
+            a, b = root(rows[i][4]), root(rows[j][4])
+            if a != b:
+                parent[b] = a
+                yield rows[i][3], rows[j][3]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, key, rows = [], None, []
+        for part in parts:
+            for row in part.itertuples(index=False, name=None):
+                if row[:3] != key:
+                    if rows:
+                        out += links(rows)
+                    key, rows = row[:3], []
+                    if len(out) >= 10_000:
+                        yield pd.DataFrame(out, columns=["a", "b"])
+                        out = []
+                rows.append(row[1:])
+        if rows:
+            out += links(rows)
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs that near_copies keeps, with all their columns."""
     found = near_copies(docs, id_col=id_col, text_col=text_col, **settings).filter("class_size > 1")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,27 +28,37 @@ class WordIds:
     The vocabulary's merges never cross words, so a plain text's ids are those of its words in order.
     """
 
-    def __init__(self, tokenizer, most_words: int = 400_000):
-        self.tokenizer, self.most_words = tokenizer, most_words
+    def __init__(self, tokenizer, most_words: int = 200_000, joined: int = 1000):
+        self.tokenizer, self.most_words, self.joined = tokenizer, most_words, joined
         self.known: dict[str, bytes] = {}
 
-    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
-        import numpy as np
-
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.asarray(e.ids, dtype="<u4").tobytes()
+    def _encoded(self, text: str):
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode many words as one text; each stays a word of its own between spaces."""
+        for start in range(0, len(words), self.joined):
+            part = words[start : start + self.joined]
+            found = self._encoded(" ".join(part))
+            ids = np.asarray(found.ids, dtype="<u4").tobytes()
+            ends = np.flatnonzero(np.diff(found.word_ids, append=-1)) + 1
+            if len(ends) == len(part):
+                ends = [0, *(ends * 4).tolist()]
+                self.known.update(zip(part, [ids[a:b] for a, b in pairwise(ends)], strict=True))
+            else:
+                for word in part:
+                    self.known[word] = np.asarray(self._encoded(word).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if "<|" in text or not PLAIN.fullmatch(text):
-            return next(self._encoded([text]))
+            return np.asarray(self._encoded(text).ids, dtype="<u4").tobytes()
         words = WORD.findall(text.lower())
         new = set(words).difference(self.known)
         if new:
             if len(self.known) + len(new) > self.most_words:
                 self.known.clear()
                 new = set(words)
-            new = list(new)
-            self.known.update(zip(new, self._encoded(new), strict=True))
+            self._learn(list(new))
         return b"".join(map(self.known.__getitem__, words))
 
 
@@ -54,6 +67,7 @@ _ENCODERS: dict[str, WordIds] = {}
 
 def _encoder(vocabulary: str) -> WordIds:
     if vocabulary not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task a core
         import public_tokenizers
         from tokenizers import Tokenizer
 

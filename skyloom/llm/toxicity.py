@@ -170,8 +170,22 @@ def choose_lexicons(stats: list[tuple[str, int, int]], others: int, toxic: int,
     return lexicons, [f for f, _, _ in ranked]
 
 
+def votes_of(bits: np.ndarray, voters: int) -> np.ndarray:
+    return ((bits[:, None] >> np.arange(voters)) & 1).astype(float)
+
+
+def correlations(v: np.ndarray, weights: list[np.ndarray], rate: np.ndarray) -> np.ndarray:
+    """The larger of the voters' correlations within the two classes, without those with themselves."""
+    found = np.zeros((v.shape[1], v.shape[1]))
+    for w, r in zip(weights, rate, strict=True):
+        off = (v - r) / np.sqrt(r * (1 - r))
+        found = np.maximum(found, (off * w[:, None]).T @ off / max(w.sum(), 1))
+    np.fill_diagonal(found, 0)
+    return found
+
+
 def label_model(
-    bits: np.ndarray, counts: np.ndarray, voters: int, start: np.ndarray, known: tuple[float, float], rounds: int = 30
+    bits: np.ndarray, counts: np.ndarray, start: np.ndarray, known: tuple[float, float], shared: np.ndarray, rounds: int = 30
 ) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of toxicity for each vote pattern, and the voters' rates of firing in (other, toxic).
 
@@ -194,13 +208,8 @@ def label_model(
             prior = float(np.clip((post @ counts + known[1]) / (counts.sum() + sum(known)), 1e-4, 0.5))
         if outer == 2:
             break
-        shared = np.zeros((voters, voters))
-        for c, p in ((0, 1 - post), (1, post)):
-            w = p * counts
-            off = (v - rate[c]) / np.sqrt(rate[c] * (1 - rate[c]))
-            shared += (off * w[:, None]).T @ off / max(counts.sum(), 1)
-        np.fill_diagonal(shared, 0)
-        weight = v / (1 + v @ np.clip(shared, 0, 1))
+        left = correlations(v, [(1 - post) * counts, post * counts], rate)
+        weight = v / (1 + v @ np.clip(np.maximum(shared, left), 0, 1))
     return post, rate
 
 
@@ -246,9 +255,10 @@ def fit(
     x = np.array([model.row(f, t) for f, t, _ in sample]).reshape(len(sample), len(names) + len(PATTERNS) + len(SHARES))
     votes = np.array([model.votes(f, t) for f, t, _ in sample], np.int64)
     y = np.array([t for _, _, t in sample], float)
-    on = ((votes[:, None] >> np.arange(k)) & 1).astype(float)
+    on = votes_of(votes, k)
     start = np.stack([(on[y == c].sum(0) + 0.02 + 0.2 * c) / ((y == c).sum() + 1) for c in (0, 1)]).clip(1e-4, 0.99)
-    post, _ = label_model(bits, seen, k, start, (others + 0.95, toxic + 0.05))
+    shared = correlations(on, [1 - y, y], start)
+    post, _ = label_model(bits, seen, start, (others + 0.95, toxic + 0.05), shared)
     known = dict(zip(bits.tolist(), post.tolist(), strict=True))
     soft = np.array([known.get(v, 0.0) for v in votes.tolist()])
     model.weights, model.bias = linear_fit(x, soft) if len(x) else (np.zeros(x.shape[1]), -3.0)

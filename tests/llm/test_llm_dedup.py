@@ -156,11 +156,11 @@ def many_near(rng):
     return rows
 
 
-@pytest.mark.parametrize("factor", [10, -100_000])
-def test_near_copies(spark, edge_rows, factor):
-    """A factor below zero sends everything through all rounds of leaders first."""
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_copies(spark, edge_rows, block):
+    """Small blocks deal every bucket out over many groups."""
     rows = edge_rows + many_near(random.Random(9))
-    found = minhash.near_copies(documents(spark, rows), pair_factor=factor).collect()
+    found = minhash.near_copies(documents(spark, rows), block=block).collect()
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in found) == brute_classes(rows)
     heads = Counter((r["class_id"], r["class_size"]) for r in found if r["kept"])
     assert sum(heads.values()) == sum(1 / c * n for (_, _, c), n in brute_classes(rows).items()) // 1

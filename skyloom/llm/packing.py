@@ -31,6 +31,9 @@ class WordIds:
     def __init__(self, tokenizer, most_words: int = 200_000, joined: int = 1000):
         self.tokenizer, self.most_words, self.joined = tokenizer, most_words, joined
         self.known: dict[str, bytes] = {}
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
+        self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith(suffix)]] = bool(suffix)
 
     def _encoded(self, text: str):
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
@@ -39,11 +42,10 @@ class WordIds:
         """Encode many words as one text; each stays a word of its own between spaces."""
         for start in range(0, len(words), self.joined):
             part = words[start : start + self.joined]
-            found = self._encoded(" ".join(part))
-            ids = np.asarray(found.ids, dtype="<u4").tobytes()
-            ends = np.flatnonzero(np.diff(found.word_ids, append=-1)) + 1
+            ids = np.asarray(self._encoded(" ".join(part)).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
-                ends = [0, *(ends * 4).tolist()]
+                ids, ends = ids.tobytes(), [0, *(ends * 4).tolist()]
                 self.known.update(zip(part, [ids[a:b] for a, b in pairwise(ends)], strict=True))
             else:
                 for word in part:

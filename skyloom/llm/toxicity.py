@@ -191,12 +191,14 @@ def label_model(
 
     A voter that does not fire abstains: only votes are evidence, and so is that no lexicon fired (the voter
     SILENT). Rates are fitted by expectation maximisation. start has the rates among the labelled documents,
-    known their numbers, which weigh along with all others. Correlations left within the classes are
-    measured, and a vote counts for 1 / (1 + its correlations with the other votes of the pattern), so that voters
-    that repeat each other do not add up; then the fit is repeated.
+    known their numbers, which weigh along with all others. shared are the voters' correlations
+    within the labelled classes; those left within the fitted classes are measured too, and the larger holds. A
+    vote counts for 1 / (1 + its correlations with the other votes of the pattern), so that voters that repeat each
+    other do not add up; then the fit is repeated.
     """
-    v = ((bits[:, None] >> np.arange(voters)) & 1).astype(float)
-    rate, prior, weight = start.copy(), known[1] / sum(known), v
+    v = votes_of(bits, start.shape[1])
+    rate, prior = start.copy(), known[1] / sum(known)
+    weight = v / (1 + v @ np.clip(shared, 0, 1))
     post = np.zeros(len(bits))
     for outer in range(3):
         for _ in range(rounds):

@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from skyloom.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
-JVM_ONLY = [n for n in sorted(entry.queries()) if not n.startswith("stream_")]
+JVM_ONLY = [n for n in sorted(catalog.QUERIES) if not n.startswith("stream_")]
 
 
 def plan_of(df):

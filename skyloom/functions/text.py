@@ -12,6 +12,10 @@ SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3
 FLOAT_PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
+# Splits a double into halves whose products are exact.
+SPLITTER = 134217729.0
+
+
 def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -31,8 +35,24 @@ def round1(c: Column) -> Column:
 
 
 def to_fixed(c: Column, digits: int) -> Column:
-    """Decimal text used as a rounding key; keeps the sign of a negative zero."""
-    return F.format_string(f"%.{digits}f", c)
+    """Decimal text used as a rounding key: the stored binary value, half up; keeps the sign of a negative zero.
+
+    ``round`` and formatting start from the shortest printed decimal. The product by a power of ten is
+    inexact, so its rounding error, taken from the split factors, decides about the half.
+    """
+    scale = 10**digits
+    x = F.abs(c.cast("double"))
+    product = x * float(scale)
+    high = x * SPLITTER - (x * SPLITTER - x)
+    error = (high * float(scale) - product) + (x - high) * float(scale)
+    whole = F.floor(product)
+    up = (product - whole - 0.5) + error >= 0
+    n = whole + F.when(up, 1).otherwise(0)
+    sign = F.when(c < 0, "-").otherwise("")
+    if not digits:
+        return F.concat(sign, n.cast("string"))
+    tail = F.lpad((n % scale).cast("string"), digits, "0")
+    return F.concat(sign, F.floor(n / scale).cast("string"), F.lit("."), tail)
 
 
 def parse_float_prefix(c: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from skyloom.functions import geo
 from skyloom.functions.phonetic import TextKeys, best_score
 from skyloom.functions.text import js_upper_trim, round1
-from skyloom.operators.ranking import take_first
+from skyloom.operators.ranking import take_first, with_place
 from skyloom.operators.spatial import BOX, nearest_join, within_radius_join
-from skyloom.operators.tracks import end_points, track_boxes
+from skyloom.operators.tracks import end_points
 
 # Radii, apron boost and search floors.
 NEARBY_NM, ENDPOINT_NM = 150.0, 30.0
@@ -65,22 +65,20 @@ def nearby_airports(
     The box is padded by the same degrees on both axes, which loses airports to the east and
     west at high latitudes; ``exact`` skips it. An airport closer than 2 NM sorts first.
     """
-    probes = points.groupBy("aircraft").agg(
-        F.max_by("lat", "idx").alias("lat"), F.max_by("lon", "idx").alias("lon")
+    # One pass over the track gives its last point and its box.
+    extent = [F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")]
+    ends = points.groupBy("aircraft").agg(
+        F.max_by("lat", "idx").alias("lat"),
+        F.max_by("lon", "idx").alias("lon"),
+        *[e.alias(c) for e, c in zip(extent, BOX, strict=True)],
     )
+    padded = geo.pad_bbox_deg({c: F.col(c) for c in BOX}, max_nm)
+    probes = ends.select("aircraft", "lat", "lon", *[padded[c].alias(c) for c in BOX])
     near = within_radius_join(probes, airports, max_nm, ["aircraft"])
     if not exact:
-        padded = geo.pad_bbox_deg({c: F.col(c) for c in BOX}, max_nm)
-        boxes = track_boxes(points).select("aircraft", *[padded[c].alias(c) for c in BOX])
-        near = (
-            near.join(boxes, "aircraft")
-            .where(
-                geo.in_bbox(
-                    F.col("site_lat"), F.col("site_lon"), {c: F.col(c) for c in BOX}
-                )
-            )
-            .drop(*BOX)
-        )
+        box = {c: F.col(c) for c in BOX}
+        near = near.where(geo.in_bbox(F.col("site_lat"), F.col("site_lon"), box))
+    near = near.drop(*BOX)
     d = F.col("distance_nm")
     return (
         near.withColumn("distance", round1(d))
@@ -90,11 +88,15 @@ def nearby_airports(
 
 
 def nearby_list(nearby: DataFrame) -> DataFrame:
-    return nearby.orderBy("aircraft", "sort_dist", "ord")
+    """Place of each airport in its aircraft's list."""
+    return with_place(nearby, ["aircraft"], ["sort_dist", "ord"])
 
 
 def search_nearby(nearby: DataFrame, queries: DataFrame, dialect: str = "page") -> DataFrame:
-    """Nearby airports matching a query (query_id, aircraft, query), scores of at least 50."""
+    """Nearby airports matching a query (query_id, aircraft, query), scores of at least 50.
+
+    ``place`` numbers a query's hits from 1.
+    """
     asked = (
         queries.withColumn("q", js_upper_trim(F.coalesce("query", F.lit(""))))
         .where("q <> ''")
@@ -121,13 +123,13 @@ def search_nearby(nearby: DataFrame, queries: DataFrame, dialect: str = "page")
         floor(F.contains(F.col("upper_city"), F.col("q")), FLOOR_CITY),
         floor(F.upper("iata") == F.col("q"), FLOOR_IATA),
     )
-    return (
+    found = (
         texts.join(asked, "aircraft")
         .withColumn("score", total)
         .where(F.col("score") >= NEARBY_SCORE)
         .drop("qk", "clean_name", "upper_city", "keys")
-        .orderBy("query_id", F.desc("score"), "sort_dist", "ord")
     )
+    return with_place(found, ["query_id"], [F.desc("score"), "sort_dist", "ord"])
 
 
 def origin_destination(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import geo
@@ -10,7 +10,7 @@ from skyloom.functions.phonetic import TextKeys, best_score
 from skyloom.functions.procs import has_root_procs
 from skyloom.functions.records import PROC_STRUCT
 from skyloom.functions.text import js_upper_trim, moa_ident, moa_spoken, name_letters, title_case
-from skyloom.operators.ranking import locale_order, take_first
+from skyloom.operators.ranking import locale_order, take_first, with_place
 from skyloom.operators.spatial import (
     BOX,
     aabb_join,
@@ -104,11 +104,10 @@ def select_area(
 
 
 def area_list(selection: DataFrame) -> DataFrame:
-    """List order without a query: sites with root procedures first, then by ident."""
+    """Place in the region's list without a query: sites with root procedures first, then by ident."""
     rooted = has_root_procs(F.col("ident"), F.col("procs"))
-    return selection.withColumn("has_procs", rooted).orderBy(
-        "region_id", F.desc("has_procs"), locale_order("ident"), "branch", "ord"
-    )
+    order = [F.desc("has_procs"), locale_order("ident"), "branch", "ord"]
+    return with_place(selection.withColumn("has_procs", rooted), ["region_id"], order)
 
 
 def area_search(selection: DataFrame, queries: DataFrame, dialect: str = "page") -> DataFrame:
@@ -128,50 +127,24 @@ def area_search(selection: DataFrame, queries: DataFrame, dialect: str = "page")
         .where(F.col("score") > 0)
         .drop("k1", "k2", "qk")
     )
-    return scored.orderBy("region_id", F.desc("score"), "branch", "ord")
-
-
-PAGE = 1000
+    return with_place(scored, ["region_id"], [F.desc("score"), "branch", "ord"])
 
 
-def copy_all(selection: DataFrame, page_size: int = PAGE) -> DataFrame:
-    """All idents of a region joined by commas, in list order, in pages of ``page_size``.
+def copy_all(selection: DataFrame) -> DataFrame:
+    """All idents of a region joined by commas, in list order: one text per region.
 
-    Copies of an ident are counted first, so the ordered scan runs over distinct idents and a
-    page never gathers more than ``page_size`` of them. The text of a region is its pages in
-    order.
+    Copies of an ident are counted before they move, so a region gathers its distinct idents once, as
+    long as its text has to be anyway.
     """
     rooted = has_root_procs(F.col("ident"), F.col("procs"))
     counted = selection.groupBy("region_id", (~rooted).alias("plain"), "ident").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    ordered = Window.partitionBy("region_id").orderBy("plain", locale_order("ident"), "ident")
-    upto = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = (
-        counted.withColumn("last", upto - 1)
-        .withColumn("first", F.col("last") - F.col("n") + 1)
-        .withColumn(
-            "page",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col("first") / page_size), F.floor(F.col("last") / page_size)
-                )
-            ),
-        )
+        F.count(F.lit(1)).cast("int").alias("n")
     )
-    start = F.greatest(F.col("first"), F.col("page") * page_size)
-    end = F.least(F.col("last"), F.col("page") * page_size + page_size - 1)
-    item = F.struct(start.alias("pos"), (end - start + 1).cast("int").alias("n"), "ident")
-    return placed.groupBy("region_id", "page").agg(
-        F.array_join(
-            F.flatten(
-                F.transform(
-                    F.array_sort(F.collect_list(item)), lambda s: F.array_repeat(s["ident"], s["n"])
-                )
-            ),
-            ", ",
-        ).alias("copy_text"),
-        F.sum(item["n"]).alias("sites"),
+    item = F.struct("plain", locale_order("ident").alias("by"), "ident", "n")
+    ordered = F.array_sort(F.collect_list(item))
+    idents = F.flatten(F.transform(ordered, lambda s: F.array_repeat(s["ident"], s["n"])))
+    return counted.groupBy("region_id").agg(
+        F.array_join(idents, ", ").alias("copy_text"), F.sum("n").alias("sites")
     )
 
 

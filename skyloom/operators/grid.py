@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from skyloom.functions.geo import DEG_PER_NM
 
 # Divisors of 360 degrees, so that cells close up at the antimeridian.
-CELL_SIZES = [0.1, 0.25, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 9.0, 10.0, 15.0, 30.0]
+CELL_SIZES = [0.1, 0.25, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 9.0, 10.0, 15.0, 30.0,
+              45.0, 60.0, 90.0, 180.0, 360.0]
 
 # Box cells: a box uses the first size at which it spans at most four cells per axis.
 BOX_LEVELS = [0.5, 2.0, 8.0, 32.0, 128.0, 512.0]
@@ -30,11 +31,9 @@ _ROW = 10_000
 
 
 def cell_size_for(radius_nm: float) -> float:
+    """Smallest cell that is as wide as the radius; the whole globe for any larger one."""
     reach = radius_nm * DEG_PER_NM
-    for size in CELL_SIZES:
-        if size >= reach:
-            return size
-    raise ValueError(f"radius of {radius_nm} NM is too large for a cell join")
+    return next((size for size in CELL_SIZES if size >= reach), CELL_SIZES[-1])
 
 
 def _lat_index(lat: Column, size: float) -> Column:

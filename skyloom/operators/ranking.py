@@ -35,6 +35,13 @@ def take_first(
     return top_k(df, keys, order, 1)
 
 
+def with_place(
+    df: DataFrame, keys: Sequence[ColumnLike], order: Sequence[ColumnLike]
+) -> DataFrame:
+    """Rows with their place (from 1) in the list of their group; nothing is sorted globally."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def locale_order(c: ColumnLike) -> Column:
     """Collation key for alphabetical order with locale rules instead of code points."""
     col = F.col(c) if isinstance(c, str) else c

@@ -29,7 +29,7 @@ def extract_routes(pages: DataFrame) -> DataFrame:
     """Route candidates linked from pages (callsign, kind, html): one row per link.
 
     ``ord`` orders a callsign's candidates: history pages first, then the live page, links in
-    page order.
+    page order. Callsigns are trimmed and upper-cased, as those of flights are.
     """
     links = F.regexp_extract_all("html", F.lit(HISTORY_LINK), F.lit(0))
     kind_rank = F.when(F.col("kind") == PAGE_KINDS[0], 0).otherwise(1)
@@ -45,7 +45,7 @@ def extract_routes(pages: DataFrame) -> DataFrame:
     ])
     clock = F.substring("clock", 1, 4)
     return linked.select(
-        "callsign",
+        js_upper_trim(F.col("callsign")).alias("callsign"),
         F.struct("k", "p", "i").alias("ord"),
         F.upper("o").alias("orig"),
         F.upper("d").alias("dest"),
@@ -58,7 +58,7 @@ def extract_routes(pages: DataFrame) -> DataFrame:
 def airlines(pages: DataFrame) -> DataFrame:
     """Airline per callsign from its live page title."""
     named = pages.where(F.col("kind") == "live").select(
-        "callsign", "page_id", airline_name(F.col("html")).alias("airline")
+        js_upper_trim(F.col("callsign")).alias("callsign"), "page_id", airline_name(F.col("html")).alias("airline")
     )
     return take_first(named.where(F.col("airline").isNotNull()), ["callsign"], ["page_id"]).select(
         "callsign", "airline"
@@ -181,8 +181,13 @@ def enrich_airport(routes: DataFrame, keys: DataFrame, end: str) -> DataFrame:
         F.coalesce(info["city"], own["city"]).alias("city"),
         F.coalesce(info["country"], own["country"]).alias("country"),
     )
-    joined = routes.withColumn("__key", wanted).join(known, "__key", "left")
-    return joined.withColumn(end, F.when(own.isNotNull(), merged)).drop("__key", "__info")
+    # Ends without a key have nothing to look up; they keep out of the join.
+    keyed = routes.withColumn("__key", wanted)
+    joined = keyed.where(F.col("__key").isNotNull()).join(known, "__key", "left")
+    found = joined.withColumn(end, F.when(own.isNotNull(), merged)).drop("__key", "__info")
+    plain = F.when(own.isNotNull(), F.struct(*[own[c].alias(c) for c in AIRPORT]))
+    rest = keyed.where(F.col("__key").isNull()).withColumn(end, plain).drop("__key")
+    return found.unionByName(rest)
 
 
 AIRPORT = ["icao", "iata", "name", "city", "country"]

@@ -63,33 +63,43 @@ def aabb_join(
 ) -> DataFrame:
     """Pairs of areas and regions whose boxes overlap; areas carry a ``bbox`` struct.
 
-    Both sides go to the cells of their own and all coarser levels. A pair meets at the coarser
-    of the two levels, where both boxes span few cells; it may meet in several cells there, and
-    only the cell of the overlap's lower corner reports it, so no duplicate removal is needed.
+    A pair meets at the coarser of its two levels, where both boxes span few cells: regions at their own
+    level meet areas of that or a finer one, areas at their own level regions of a finer one. So only
+    boxes that really are that large meet in large cells. A pair may meet in several cells, and only
+    the cell of the overlap's lower corner reports it, so no duplicate removal is needed.
     """
     bbox = F.col("bbox")
-    boxes = _leveled_cells(regions, "__rl", _cols())
-    probes = _leveled_cells(areas, "__al", bbox).drop("__lv")
-    pairs = grid.salted_join(probes, boxes, ["__cell", *on], list(area_id))
+    boxes = _leveled_cells(regions, _cols(), own_first=True)
+    probes = _leveled_cells(areas, bbox, own_first=False).drop("__lv")
+    pairs = grid.salted_join(probes, boxes, ["__cell", "__owner", *on], list(area_id))
     corner = grid.box_point_cell(
         F.greatest(bbox["min_lat"], F.col("min_lat")),
         F.greatest(bbox["min_lon"], F.col("min_lon")),
         F.col("__lv"),
     )
-    return pairs.where(
-        (F.col("__lv") == F.greatest("__al", "__rl"))
-        & geo.bbox_overlaps(bbox, _cols())
-        & (F.col("__cell") == corner)
-    ).drop("__cell", "__lv", "__al", "__rl")
+    return pairs.where(geo.bbox_overlaps(bbox, _cols()) & (F.col("__cell") == corner)).drop(
+        "__cell", "__lv", "__owner"
+    )
 
 
-def _leveled_cells(df: DataFrame, own: str, box) -> DataFrame:
-    """One row per cell of the box at its own level (column ``own``) and at each coarser one."""
+def _leveled_cells(df: DataFrame, box, own_first: bool) -> DataFrame:
+    """One row per cell of the box: at its own level as the owner of the cell (``__owner`` tells whose
+    side that is), and as a guest of the other side's at each coarser level, a region from the next one on."""
     top = len(grid.BOX_LEVELS) - 1
+    own = F.col("__own")
+    levels = F.sequence(own + 1, F.lit(top)) if own_first else F.sequence(own, F.lit(top))
+    guests = F.when(own + int(own_first) <= top, levels).otherwise(F.array().cast("array<int>"))
+    stays = F.concat(
+        F.array(F.struct(own.alias("lv"), F.lit(own_first).alias("owner"))),
+        F.transform(guests, lambda lv: F.struct(lv.alias("lv"), F.lit(not own_first).alias("owner"))),
+    )
     return (
-        df.withColumn(own, grid.box_level(box))
-        .withColumn("__lv", F.explode(F.sequence(F.col(own), F.lit(top))))
+        df.withColumn("__own", grid.box_level(box))
+        .withColumn("__at", F.explode(stays))
+        .withColumn("__lv", F.col("__at.lv"))
+        .withColumn("__owner", F.col("__at.owner"))
         .withColumn("__cell", F.explode(grid.box_cells(box, F.col("__lv"))))
+        .drop("__own", "__at")
     )
 
 

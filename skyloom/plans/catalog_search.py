@@ -410,9 +410,8 @@ def area_search(spark, sf):
       select region_id, ident, row_number() over (partition by region_id order by ident, branch, ord) - 1 as p
       from sel
     )
-    select region_id, cast(floor(p / 1000) as bigint) as page, string_agg(ident, ', ' order by p) as copy_text,
-           count(*) as sites
-    from pos group by 1, 2
+    select region_id, string_agg(ident, ', ' order by p) as copy_text, count(*) as sites
+    from pos group by 1
     """,
 )
 def area_copy_all(spark, sf):

@@ -47,9 +47,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         own = _OWN_DIR["path"] = tempfile.mkdtemp(prefix="skyloom-", dir=os.environ.get("TMPDIR"))
+        forget_at_end(spark, own)
     return own
 
 
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder of intermediate data deleted when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -57,10 +64,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder and go on from the written table.
 
     The result is computed once, survives the loss of executors, ends the growth of an iterative
-    plan, and tells the planner its real size.
+    plan, and tells the planner its real size. The table goes when the application ends.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    forget_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

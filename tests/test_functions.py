@@ -56,6 +56,23 @@ def test_text_helpers(spark):
     assert value(spark, text.js_round(F.lit(2.5))) == 3
     assert value(spark, text.round1(F.lit(3.25))) == 3.3
     assert value(spark, text.to_fixed(F.lit(-0.000001), 4)) == "-0.0000"
+    # Ties of the printed decimal that are none of the stored value, and a true tie.
+    for x, digits, key in [(40.123455, 5, "40.12345"), (12.345675, 5, "12.34567"), (33.000015, 5, "33.00001"),
+                           (0.015625, 5, "0.01563"), (-0.015625, 5, "-0.01563"), (7.0, 4, "7.0000"), (2.5, 0, "3")]:
+        assert value(spark, text.to_fixed(F.lit(x), digits)) == key
+
+
+def test_to_fixed_is_exact(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(1)
+    xs = [round(rng.uniform(-180, 180), 6) for _ in range(20_000)]
+    xs += [rng.randrange(-18_000_000, 18_000_000) / 1e5 + 5e-6 for _ in range(20_000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", text.to_fixed(F.col("x"), 5).alias("k"))
+    for r in df.collect():
+        exact = Decimal(abs(r.x)).quantize(Decimal("0.00001"), ROUND_HALF_UP)
+        assert r.k == ("-" if r.x < 0 else "") + str(exact)
 
 
 WORDS = ["COLDR", "VEBIT", "PHOENIX", "123", "LAX", "WRIGHT", "KNIGHT", "OO", "AEIOU", "QUICK",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import kept_rows, text_key, written
@@ -117,13 +118,21 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def nibbles(signature: np.ndarray) -> np.ndarray:
-    """4 bits of each place, 16 places to a number; empty places at the end are equal for all."""
+PLANES = 4
+
+
+def bit_planes(signature: np.ndarray) -> np.ndarray:
+    """PLANES bits of each place, as numbers of 64 places: those of one plane lie PLANES apart.
+
+    Places beyond the end are equal for all.
+    """
     texts, size = signature.shape
-    padded = np.zeros((texts, -(-size // 16) * 16), U)
-    padded[:, :size] = mixed(signature) & U(15)
-    shifts = (np.arange(16, dtype=U) * U(4))[None, None, :]
-    return np.bitwise_or.reduce(padded.reshape(texts, -1, 16) << shifts, axis=2).view(np.int64)
+    padded = np.zeros((texts, -(-size // 64) * 64), U)
+    padded[:, :size] = mixed(signature)
+    places = padded.reshape(texts, -1, 64)
+    shifts = np.arange(64, dtype=U)[None, None, :]
+    planes = [np.bitwise_or.reduce((places >> U(p) & U(1)) << shifts, axis=2) for p in range(PLANES)]
+    return np.stack(planes, axis=2).reshape(texts, -1).view(np.int64)
 
 
 def _portions(batch: pa.RecordBatch, most_bytes: int = 1_500_000, most_rows: int = 2000):
@@ -154,7 +163,7 @@ def _sketch(words: int, bands: int, rows: int):
                 sig = prob_minhash(owner, hashes, 1 + np.log(count), len(texts), bands * rows)
                 n = np.bincount(owner, minlength=len(texts))
                 keys = band_keys(sig, bands, rows)[n > 0]
-                bits = nibbles(sig)
+                bits = bit_planes(sig)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in ("doc_id", "row", "t")),
@@ -289,19 +298,21 @@ def near_copies(
 
 def _near(similarity: float, places: int):
     """Whether two rows (n, bits, root) may be similar, by sizes and signatures, and are not in one component."""
-    equal = similarity + (1 - similarity) / 16
-    error = 16 / 15 * math.sqrt(equal * (1 - equal) / places)
-    most = places * (1 - (similarity - 5 * error)) * 15 / 16
-
-    def unequal(a, b):
-        x = a.bitwiseXOR(b)
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    chance = 0.5**PLANES
+    equal = similarity + (1 - similarity) * chance
+    error = math.sqrt(equal * (1 - equal) / places) / (1 - chance)
+    most = places * (1 - (similarity - 5 * error)) * (1 - chance)
+
+    def unequal(a: str, b: str, word: int):
+        differ = [
+            F.get(f"{a}.bits", F.lit(i)).bitwiseXOR(F.get(f"{b}.bits", F.lit(i)))
+            for i in range(word * PLANES, (word + 1) * PLANES)
+        ]
+        return F.bit_count(reduce(Column.bitwiseOR, differ))
 
     def near(a: str, b: str):
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        parts = [unequal(F.get(f"{a}.bits", F.lit(i)), F.get(f"{b}.bits", F.lit(i))) for i in range(-(-places // 16))]
+        parts = [unequal(a, b, word) for word in range(-(-places // 64))]
         alike = F.least(na, nb) >= F.greatest(na, nb) * (similarity - 1e-9)
         return (F.col(f"{a}.root") != F.col(f"{b}.root")) & alike & (sum(parts[1:], parts[0]) <= most)
 

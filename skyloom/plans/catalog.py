@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from skyloom.plans import (  # noqa: F401
+    catalog_feeds,
     catalog_ingest,
     catalog_routes,
     catalog_search,

@@ -110,3 +110,19 @@ def build_airports(airports_src: DataFrame) -> tuple[DataFrame, DataFrame]:
         "is_us", is_us(F.col("icao"), F.col("country"))
     )
     return listed, airport_keys(airports_src)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows of one feed with ``ord`` as a number in file order instead of a place."""
+    placed = rows.withColumnRenamed("ord", "src").withColumn("source", F.lit(FEED_ORDER[0]))
+    return with_ord(cut_lineage(placed)).drop("src", "source")
+
+
+def build_moas(moas: DataFrame) -> DataFrame:
+    """Airspaces (ord, name, polys, bbox) from a read feed, numbered in file order."""
+    return _numbered(moas)
+
+
+def build_fbos(fbos: DataFrame) -> DataFrame:
+    """FBOs (ord, name, icao, lat, lon) from a read feed, numbered in file order."""
+    return _numbered(fbos)

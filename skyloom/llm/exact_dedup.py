@@ -104,7 +104,8 @@ def exact_copies(
     )
     depth, slots, buckets = split_directory(_histogram(entries, capacity, step, most_bits), capacity)
 
-    shared = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # A table, not a grouping: only so may adaptive execution split the texts of a hot key in the join.
+    shared = written(entries.groupBy("h").agg(F.sum("group_size").alias("n")).filter("n > 1").select("h"), "shared")
     same_bytes = (
         docs.select(key(norm).alias("h"), norm.alias("norm"))
         .join(shared, "h", "left_semi")

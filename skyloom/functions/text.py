@@ -100,9 +100,13 @@ def name_letters(c: Column) -> Column:
     return F.regexp_replace(c, "[^A-Z]", "")
 
 
+# First letters of four-letter codes that are left out in comparisons.
+REGION_LETTERS = "^[KCEPYL]"
+
+
 def norm_airport_code(c: Column) -> Column:
     """Four-letter codes with a known region prefix lose it, so KLAX and LAX compare equal."""
     u = js_upper_trim(F.coalesce(c, F.lit("")))
     return F.when(
-        (F.length(u) == 4) & u.rlike("^[KCEPYL]"), F.substring(u, 2, 3)
+        (F.length(u) == 4) & u.rlike(REGION_LETTERS), F.substring(u, 2, 3)
     ).otherwise(u)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from skyloom.functions.phonetic import (
-    ALPHABET,
-    PHONETIC_REWRITES,
-    RAW_EDIT,
-    SKELETON_REWRITES,
-    SOUND_GROUPS,
-)
+# Fixed values, stated here once more by hand so that a wrong one in the engine shows.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SOUND_GROUPS = [
+    "EI", "AE", "OU", "BP", "DT", "GKC", "FV", "SZC", "MN", "LR", "JY", "XKS",
+]
+PHONETIC_REWRITES = [
+    ("PH", "F"), ("CK", "K"), ("Q", "K"), ("X", "KS"), ("Z", "S"), ("DG", "J"),
+    ("GH", "G"), ("KN", "N"), ("WR", "R"), ("EE", "I"), ("EA", "I"), ("IE", "I"),
+    ("EY", "I"), ("AY", "I"), ("OO", "U"), ("OU", "U"), ("ISN", "SN"), ("YSN", "SN"),
+    ("Y", "I"),
+]
+SKELETON_REWRITES = [("PH", "F"), ("CK", "K"), ("Q", "K"), ("Z", "S")]
+RAW_EDIT = [300, 200, 120, 60]
 
 
 def _rewrite(x: str, rules: list[tuple[str, str]]) -> str:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from skyloom.llm.common import constant, count_at_most, written
 
@@ -31,6 +32,12 @@ class WordIds:
     def __init__(self, tokenizer, most_words: int = 200_000, joined: int = 1000):
         self.tokenizer, self.most_words, self.joined = tokenizer, most_words, joined
         self.known: dict[str, bytes] = {}
+        # Words come lower-cased and split: their encoder needs no more than the merges.
+        self.word_encoder = Tokenizer.from_str(tokenizer.to_str())
+        self.word_encoder.normalizer = None
+        self.word_encoder.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         suffix = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
         self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith(suffix)]] = bool(suffix)
@@ -42,7 +49,8 @@ class WordIds:
         """Encode many words as one text; each stays a word of its own between spaces."""
         for start in range(0, len(words), self.joined):
             part = words[start : start + self.joined]
-            ids = np.asarray(self._encoded(" ".join(part)).ids, dtype="<u4")
+            found = self.word_encoder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.asarray(found.ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
                 ids, ends = ids.tobytes(), [0, *(ends * 4).tolist()]
@@ -69,9 +77,8 @@ _ENCODERS: dict[str, WordIds] = {}
 
 def _encoder(vocabulary: str) -> WordIds:
     if vocabulary not in _ENCODERS:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task a core
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         import public_tokenizers
-        from tokenizers import Tokenizer
 
         _ENCODERS[vocabulary] = WordIds(Tokenizer.from_file(public_tokenizers.path(vocabulary)))
     return _ENCODERS[vocabulary]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import written
+from skyloom.llm.common import constant, written
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
@@ -48,12 +48,10 @@ def features_of(text: str) -> list[str]:
 
 @dataclass
 class Model:
-    """What scoring needs: the voters' lexicons, the classifier's features and weights."""
+    """What tells a text's votes and classifier columns: the voters' lexicons and the features."""
 
     lexicons: list[list[str]]
     features: list[str]
-    weights: np.ndarray | None = None
-    bias: float = 0.0
     index: dict[str, int] = field(default_factory=dict)
 
     def ready(self) -> Model:
@@ -94,16 +92,13 @@ class Model:
         rest = [*patterns_of(text), not bits]
         return bits | sum(1 << (len(self.lexicons) + i) for i, on in enumerate(rest) if on)
 
-    def row(self, found: tuple[set[str], float], text: str) -> np.ndarray:
-        """Features, patterns, and steps of the share of marked words."""
-        x = np.zeros(len(self.features) + len(PATTERNS) + len(SHARES))
-        x[[self.index[f] for f in found[0]]] = 1
-        x[len(self.features) :] = [*patterns_of(text), *[found[1] >= s for s in SHARES]]
-        return x
+    def columns(self, found: tuple[set[str], float], text: str) -> list[int]:
+        """Places of the ones among features, patterns, and steps of the share of marked words."""
+        rest = [*patterns_of(text), *[found[1] >= s for s in SHARES]]
+        return [self.index[f] for f in found[0]] + [len(self.features) + i for i, on in enumerate(rest) if on]
 
-    def score(self, text: str) -> float:
-        z = self.bias + float(self.row(self.found(text), text) @ self.weights)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def width(self) -> int:
+        return len(self.features) + len(PATTERNS) + len(SHARES)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +123,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _evidence(model: Model, column: str):
+EVIDENCE = "held_out boolean, pick bigint, votes bigint, x array<int>"
+
+
+def _evidence(model: Model):
+    """The votes and classifier columns of each text, which then stays behind."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.ready()
         for batch in batches:
-            votes = []
+            votes, x = [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
-                votes.append(model.votes(model.found(text), text))
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.int64())], names=[column])
+                found = model.found(text)
+                votes.append(model.votes(found, text))
+                x.append(model.columns(found, text))
+            kept = [batch.column(c) for c in ("doc_id", "held_out", "pick")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(votes, pa.int64()), pa.array(x, pa.list_(pa.int32()))],
+                names=["doc_id", "held_out", "pick", "votes", "x"],
+            )
 
     return run
 
@@ -230,51 +236,38 @@ def linear_fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
     return w[:-1], float(w[-1])
 
 
-def fit(
-    docs: DataFrame, train: DataFrame, *, fit_rows: int = 20_000, voters: int = 13, features: int = 200, least: int = 3
-) -> Model:
-    """train: (text, toxic); docs: (text). Labels come from train alone; the label model sees all docs."""
-    n = train.count()
-    part = min(1.0, fit_rows / max(n, 1))
-    bound = int((part - 0.5) * 2 * ((1 << 63) - 1)) if part < 1 else (1 << 63) - 1
-    train = written(train.filter(F.xxhash64(F.lit("fit"), "text") <= bound), "toxic-train")
+def chosen_model(train: DataFrame, *, voters: int, features: int, least: int) -> Model:
+    """Lexicons and features from train (text, toxic)."""
     totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     others, toxic = totals.get(0, 0), totals.get(1, 0)
     counts = train.mapInArrow(_features, "feature string, other bigint, toxic bigint").groupBy("feature")
     counts = counts.agg(F.sum("other").alias("o"), F.sum("toxic").alias("t")).filter(F.col("t") >= least)
     share = (F.col("t") + 0.1) / (toxic + 1) / ((F.col("o") + 0.1) / (others + 1))
     told = counts.filter(share > 3).orderBy(F.desc(F.col("t") * F.log(share)), "feature").limit(features)
-    stats = [(r["feature"], r["o"], r["t"]) for r in told.collect()]
-    lexicons, names = choose_lexicons(stats, others, toxic, voters)
-    model = Model(lexicons, names).ready()
+    lexicons, names = choose_lexicons([(r["feature"], r["o"], r["t"]) for r in told.collect()], others, toxic, voters)
+    return Model(lexicons, names).ready()
 
-    k = len(lexicons) + len(PATTERNS) + 1
-    patterns = docs.mapInArrow(_evidence(model, "votes"), "votes bigint").groupBy("votes").agg(F.count("*").alias("n"))
-    rows = patterns.collect()  # at most 2**(voters + 3)
-    bits, seen = np.array([r["votes"] for r in rows], np.int64), np.array([r["n"] for r in rows], float)
 
-    sample = [(model.found(r["text"] or ""), r["text"] or "", r["toxic"]) for r in train.toLocalIterator()]
-    x = np.array([model.row(f, t) for f, t, _ in sample]).reshape(len(sample), len(names) + len(PATTERNS) + len(SHARES))
-    votes = np.array([model.votes(f, t) for f, t, _ in sample], np.int64)
-    y = np.array([t for _, _, t in sample], float)
-    on = votes_of(votes, k)
+def fitted_weights(model: Model, patterns: DataFrame, train: DataFrame) -> tuple[list[float], float]:
+    """Classifier weights and bias: patterns (votes, n) of all documents, train (votes, x, toxic) of the sample."""
+    k = len(model.lexicons) + len(PATTERNS) + 1
+    rows = patterns.collect()  # at most 2**(voters + 4)
+    bits, seen = np.array([r["votes"] for r in rows], np.int64), np.array([r["n"] for r in rows], float)
+    sample = train.orderBy("votes", "x", "toxic").collect()  # bounded by fit_rows, a few numbers each
+    x = np.zeros((len(sample), model.width()))
+    for row, r in zip(x, sample, strict=True):
+        row[list(r["x"])] = 1
+    votes = np.array([r["votes"] for r in sample], np.int64)
+    y = np.array([r["toxic"] for r in sample], float)
+    if not len(sample):
+        return [0.0] * x.shape[1], -3.0
+    on, toxic = votes_of(votes, k), y.sum()
     start = np.stack([(on[y == c].sum(0) + 0.02 + 0.2 * c) / ((y == c).sum() + 1) for c in (0, 1)]).clip(1e-4, 0.99)
     shared = correlations(on, [1 - y, y], start)
-    post, _ = label_model(bits, seen, start, (others + 0.95, toxic + 0.05), shared)
+    post, _ = label_model(bits, seen, start, (len(y) - toxic + 0.95, toxic + 0.05), shared)
     known = dict(zip(bits.tolist(), post.tolist(), strict=True))
-    soft = np.array([known.get(v, 0.0) for v in votes.tolist()])
-    model.weights, model.bias = linear_fit(x, soft) if len(x) else (np.zeros(x.shape[1]), -3.0)
-    return model
-
-
-def _scores(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model.ready()
-        for batch in batches:
-            scores = [model.score(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
-
-    return run
+    weights, bias = linear_fit(x, np.array([known.get(v, 0.0) for v in votes.tolist()]))
+    return weights.tolist(), bias
 
 
 def toxicity_scores(
@@ -286,7 +279,10 @@ def toxicity_scores(
     label_id: str = "doc_id",
     label_col: str = "toxic",
     folds: int = 5,
-    **settings,
+    fit_rows: int = 20_000,
+    voters: int = 13,
+    features: int = 200,
+    least: int = 3,
 ) -> DataFrame:
     """One row per input row: id, whether it was held out, a score from 0 to 1, and the predicted label.
 
@@ -294,18 +290,34 @@ def toxicity_scores(
     prefixes that mark toxic texts among at most fit_rows labelled rows (a hash sample); pattern voters look at
     shouting, marks and doubled words. A generative model of the votes of all documents estimates the voters' rates and
     correlations; a linear classifier over words, prefixes and patterns learns its posteriors on
-    the sampled rows and scores every whole text. Only the text is an input of a score.
+    the sampled rows and scores every whole text. Texts are read once for the sample and once for all evidence. Only
+    the text is an input of a score.
 
     A null text counts as empty and takes the classifier's base rate; a null id is not held out and has no
     label; of contradicting labels the toxic one counts; repeated rows score alike. Without labels all scores are
     low. An empty table gives no rows. Other columns are not read.
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
-    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
+    pick = F.xxhash64(F.lit("fit"), F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), pick.alias("pick"), F.col(text_col).alias("text"))
     known = labels.groupBy(F.col(label_id).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    known = known.filter("toxic is not null")
-    train = rows.filter("not held_out").join(known, F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    model = fit(rows.select("text"), train, **settings)
+    known = written(known.filter("toxic is not null"), "toxic-labels")
+
+    def labelled(df: DataFrame) -> DataFrame:
+        return df.filter("not held_out").join(known, F.col("doc_id") == F.col("_id")).drop("_id")
+
+    n = labelled(rows.select("doc_id", "held_out")).count()
+    part = min(1.0, fit_rows / max(n, 1))
+    bound = -(1 << 63) + int(part * (1 << 32)) * (1 << 32)
+    sampled = F.col("pick") < bound if part < 1 else F.lit(True)
+    train = written(labelled(rows.filter(sampled)).select("text", "toxic"), "toxic-train")
+    model = chosen_model(train, voters=voters, features=features, least=least)
+
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(_scores(model), f"doc_id {kind}, held_out boolean, score double")
+    evidence = written(rows.mapInArrow(_evidence(model), f"doc_id {kind}, {EVIDENCE}"), "toxic-evidence")
+    patterns = evidence.groupBy("votes").agg(F.count("*").alias("n"))
+    weights, bias = fitted_weights(model, patterns, labelled(evidence.filter(sampled)).select("votes", "x", "toxic"))
+    z = F.aggregate("x", F.lit(float(bias)), lambda a, i: a + F.get(constant(weights, "array<double>"), i))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    scored = evidence.select("doc_id", "held_out", score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -287,7 +287,8 @@ def near_copies(
         F.count("*").alias("class_size"),
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"),
     )
-    return classes.join(heads, "root").select(
+    # As a table, so that adaptive execution may split the rows of a large class.
+    return classes.join(written(heads, "heads"), "root").select(
         "doc_id",
         F.col("head.doc_id").alias("class_id"),
         "class_size",

@@ -64,15 +64,15 @@ def brute_pipeline(spark, rows, labels, items):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     found = quality.quality_scores(docs, labels).collect()
     limit = {(r["doc_id"], r["lang"]): r["threshold"] for r in found}
+    trusted = sorted(r["perplexity"] for r in found if r["doc_id"] in good)
+    usual = trusted[-(-len(trusted) // 2) - 1]
 
     def perplexity(t):
         import math
 
         codes = quality.grams_of(t).tolist()
-        if not codes:
-            return 1.0
         logs = [math.log2(p((c >> 18 & 63, c >> 12 & 63, c >> 6 & 63, c & 63))) for c in codes]
-        return 2 ** (-sum(logs) / len(logs))
+        return 2 ** ((50 * math.log2(usual) - sum(logs)) / (len(logs) + 50))
 
     rows = [r for r in rows if limit[r[0], r[2]] is None or perplexity(r[1] or "") <= limit[r[0], r[2]] * (1 + 1e-6)]
     groups = defaultdict(list)

@@ -253,7 +253,8 @@ def fitted_weights(model: Model, patterns: DataFrame, train: DataFrame) -> tuple
     k = len(model.lexicons) + len(PATTERNS) + 1
     rows = patterns.collect()  # at most 2**(voters + 4)
     bits, seen = np.array([r["votes"] for r in rows], np.int64), np.array([r["n"] for r in rows], float)
-    sample = train.orderBy("votes", "x", "toxic").collect()  # bounded by fit_rows, a few numbers each
+    # Bounded by fit_rows, a few numbers each; in one order, so that sums are the same in every run.
+    sample = sorted(train.collect(), key=lambda r: (r["votes"], list(r["x"]), r["toxic"]))
     x = np.zeros((len(sample), model.width()))
     for row, r in zip(x, sample, strict=True):
         row[list(r["x"])] = 1

@@ -43,7 +43,66 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_size(table(spark, sf_dir, "documents"), shards=8)
 
 
-@query("op2_url_filter")
+def _strength(level: str) -> str:
+    """Prior strength of a level's groups (k labelled, b bad) from their over-dispersion."""
+    return f"""(
+      select case when rho is null or rho = 0 then 1e4 else least(greatest(1 / rho - 1, 1e0), 1e4) end
+      from (
+        select (spread - free) / nullif(n - n2 / nullif(n, 0) - free, 0) as rho
+        from (
+          select sum(k * pow(b / cast(k as double) - m, 2)) / (any_value(m) * (1 - any_value(m))) as spread,
+                 count(*) - 1 as free, cast(sum(k) as double) as n, sum(k * k) as n2
+          from {level}, mean where k > 0
+        ) a
+      ) r
+    )"""
+
+
+OP2 = f"""
+with urls as (
+    select page_id, {LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")} as host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+    from pages
+),
+known as (
+    select host, l.bad from urls left join (
+        select doc_id, max(case when quality = 0 or toxic = 1 then 1
+                                when quality is not null or toxic is not null then 0 end) as bad
+        from labels group by doc_id
+    ) l on l.doc_id = page_id
+),
+hosts as (
+    select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix,
+           count(bad) as k, coalesce(sum(bad), 0) as b
+    from known group by host
+),
+domains as (select domain, any_value(suffix) as suffix, sum(k) as k, sum(b) as b from hosts group by domain),
+suffixes as (select suffix, sum(k) as k, sum(b) as b from domains group by suffix),
+mean as (select least(greatest((sum(b) + 0.5e0) / (sum(k) + 1), 1e-6), 1 - 1e-6) as m from suffixes),
+strength as (select {_strength('suffixes')} as s, {_strength('domains')} as d, {_strength('hosts')} as h),
+at_suffix as (select suffix, (s * m + b) / (s + k) as p from suffixes, mean, strength),
+at_domain as (
+    select domain, (d * p + b) / (d + k) as p from domains join at_suffix using (suffix), strength
+),
+at_host as (select host, k, h, (h * p + b) / (h + k) as rate from hosts join at_domain using (domain), strength),
+rules as (
+    select * from (values {', '.join(f"('{what}', '{rule}')" for what, rule in url_filter.RULES)}) r (what, rule)
+),
+judged as (
+    select u.page_id, u.host, u.path, r.rule, r.what, a.rate, a.h, a.k
+    from urls u join at_host a using (host)
+    left join rules r on ends_with('.' || u.host, '.' || split_part(r.rule, '/', 1))
+        and starts_with(u.path, substr(r.rule, length(split_part(r.rule, '/', 1)) + 1))
+    qualify row_number() over (partition by u.page_id order by length(r.rule) desc nulls last) = 1
+)
+select page_id, host, path, rule, round(rate, 6) as rate, k as labelled,
+       coalesce(what, case when rate - 1.645e0 * sqrt(rate * (1 - rate) / (h + k + 1)) > 0.5e0 then 'block' else 'allow' end)
+         as verdict
+from judged
+"""
+
+
+@query("op2_url_filter", OP2)
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 

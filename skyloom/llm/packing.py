@@ -26,24 +26,29 @@ WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTER}]+|[{DIGIT}]|[^\s{LETTER}{DI
 class WordIds:
     """Token ids of a text as little-endian bytes; a word's ids are looked up once.
 
-    The vocabulary's merges never cross words, so a plain text's ids are those of its words in order.
+    The vocabulary's merges never cross words, so a plain text's ids are those of its words in order. Words come
+    lower-cased and split, so their encoder needs no more than the merges; the whole one is loaded for the
+    first other text.
     """
 
-    def __init__(self, tokenizer, most_words: int = 200_000, joined: int = 1000):
-        self.tokenizer, self.most_words, self.joined = tokenizer, most_words, joined
+    def __init__(self, path: str, most_words: int = 100_000, joined: int = 1000):
+        self.path, self.most_words, self.joined = path, most_words, joined
         self.known: dict[str, bytes] = {}
-        # Words come lower-cased and split: their encoder needs no more than the merges.
-        self.word_encoder = Tokenizer.from_str(tokenizer.to_str())
+        self.whole: Tokenizer | None = None
+        self.word_encoder = Tokenizer.from_file(path)
         self.word_encoder.normalizer = None
         self.word_encoder.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        suffix = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
-        self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
-        self.ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith(suffix)]] = bool(suffix)
+        suffix = getattr(self.word_encoder.model, "end_of_word_suffix", None) or ""
+        vocabulary = self.word_encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = bool(suffix)
 
     def _encoded(self, text: str):
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        if self.whole is None:
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole.encode_batch_fast([text], add_special_tokens=False)[0]
 
     def _learn(self, words: list[str]) -> None:
         """Encode many words as one text; each stays a word of its own between spaces."""
@@ -80,7 +85,7 @@ def _encoder(vocabulary: str) -> WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         import public_tokenizers
 
-        _ENCODERS[vocabulary] = WordIds(Tokenizer.from_file(public_tokenizers.path(vocabulary)))
+        _ENCODERS[vocabulary] = WordIds(public_tokenizers.path(vocabulary))
     return _ENCODERS[vocabulary]
 
 

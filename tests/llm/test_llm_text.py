@@ -358,7 +358,7 @@ def test_packing_round_trip(spark):
 def test_word_ids_are_those_of_the_library(text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    assert packing.WordIds(tokenizer, most_words=2).ids(text) == ids
+    assert packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), most_words=2).ids(text) == ids
 
 
 # Token counts

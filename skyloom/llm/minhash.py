@@ -135,7 +135,7 @@ def bit_planes(signature: np.ndarray) -> np.ndarray:
     return np.stack(planes, axis=2).reshape(texts, -1).view(np.int64)
 
 
-def _portions(batch: pa.RecordBatch, most_bytes: int = 1_500_000, most_rows: int = 2000):
+def _portions(batch: pa.RecordBatch, most_bytes: int = 500_000, most_rows: int = 1000):
     """Slices of a batch of bounded size, with their texts."""
     begin, held, texts = 0, 0, []
     for i, x in enumerate(batch.column("text")):

@@ -278,6 +278,16 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(d for d, k in found.items() if k)
 
 
+def test_quality_bar_is_the_highest_trusted_value(spark):
+    rows = [(i, "de", 3 + i / 100) for i in range(100)] + [(100 + i, "fr", 6 + i / 100) for i in range(100)]
+    scored = spark.createDataFrame([*rows, (900, "de", 4.5)], "doc_id bigint, lang string, settled double")
+    labels = spark.createDataFrame([*((r[0], 1) for r in rows), (900, 0)], "doc_id bigint, quality int")
+    limits = quality.thresholds(scored, labels)
+    assert limits == ({"de": 3.99, "fr": 6.99}, 6.99)
+    over = scored.filter(F.col("settled") > quality.limit_of(F.col("lang"), limits))
+    assert [r["doc_id"] for r in over.collect()] == [900]
+
+
 def test_quality_of_edge_rows(spark):
     docs = documents(spark, EDGES)
     labels = spark.createDataFrame([(6, 1), (6, 1), (5, 1), (None, 1), (4, None)], "doc_id bigint, quality int")

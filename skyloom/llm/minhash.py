@@ -159,8 +159,8 @@ def _sketch(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _portions(batch):
-                owner, hashes, count = shingles_of(texts, words)
-                sig = prob_minhash(owner, hashes, 1 + np.log(count), len(texts), bands * rows)
+                owner, hashes, _ = shingles_of(texts, words)
+                sig = prob_minhash(owner, hashes, np.ones(len(hashes)), len(texts), bands * rows)
                 n = np.bincount(owner, minlength=len(texts))
                 keys = band_keys(sig, bands, rows)[n > 0]
                 bits = bit_planes(sig)
@@ -227,9 +227,9 @@ def near_copies(
     """One row per input row: its id, the id and size of its class, and whether it is the row that stays.
 
     Texts are linked when the Jaccard similarity of their sets of word shingles is at least similarity;
-    classes are the connected components, named after their least id. Signatures weigh a shingle by
-    1 + ln(count) (probability Jaccard); bands * rows places give candidates: a pair at 0.8 is missed
-    with a probability of 5e-5. Of them, pairs stay whose sizes allow the similarity and whose signatures, 4 bits a
+    classes are the connected components, named after their least id. Signatures weigh all distinct shingles
+    alike, as the similarity does; bands * rows places give candidates: a pair at 0.8 shares no band
+    with a probability of 5e-5, however often its shingles repeat. Of them, pairs stay whose sizes allow the similarity and whose signatures, 4 bits a
     place, estimate no less than five standard errors below it. Every link is verified on the whole shingle sets.
 
     Equal texts are one node, so copies never meet each other. In a bucket of the banding all members are

@@ -167,6 +167,23 @@ def test_near_copies(spark, edge_rows, block):
     assert all(r["doc_id"] == r["class_id"] for r in found if r["kept"])
 
 
+def repeated_lines(rng, repeats, pairs=20):
+    """Pairs of texts at a plain similarity just above 0.8, whose own lines come repeats times."""
+    rows = []
+    for i in range(pairs):
+        shared = sentence(rng, 120)
+        rows += [(2 * i + k, " ".join([shared, *[sentence(rng, 10)] * repeats])) for k in (0, 1)]
+    return rows
+
+
+@pytest.mark.parametrize("repeats", [10, 50])
+def test_near_copies_with_repeated_lines(spark, repeats):
+    rows = repeated_lines(random.Random(repeats), repeats)
+    found = minhash.near_copies(documents(spark, rows)).collect()
+    assert all(c == 2 for _, _, c in brute_classes(rows))
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in found) == brute_classes(rows)
+
+
 def test_near_copies_in_one_large_group(spark):
     rng = random.Random(2)
     text = sentence(rng, 100).split()

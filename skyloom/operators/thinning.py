@@ -210,20 +210,21 @@ def proximity_dedup(sites: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame
 
 
 def thin_for_zoom(
-    sites: DataFrame, zoom: float, tile_px: int = 1024, fold_limit: int = FOLD_LIMIT
+    sites: DataFrame, zoom: float, tile_px: int | None = None, fold_limit: int = FOLD_LIMIT
 ) -> DataFrame:
-    """Sites drawn at a zoom level, per square tile of ``tile_px`` pixels.
+    """Sites drawn at a zoom level.
 
     In source order, a site is skipped when its 2-pixel spot is taken or when a drawn site of
-    the same ident is closer than 40 pixels.
+    the same ident is closer than 40 pixels. The whole canvas is thinned at once, in rounds of
+    joins; with ``tile_px``, each square tile of so many pixels by itself.
     """
+    tile = [] if tile_px is None else ["tile_x", "tile_y"]
     x, y = mercator_px(F.col("lat"), F.col("lon"), zoom)
     placed = sites.select(
         "ord", "ident", "type", "lat", "lon", x.alias("px"), y.alias("py")
     ).withColumns(
         {
-            "tile_x": F.floor(F.col("px") / tile_px),
-            "tile_y": F.floor(F.col("py") / tile_px),
+            **{f"tile_{a}": F.floor(F.col(f"p{a}") / tile_px) for a in "xy" if tile},
             "spot_x": F.floor(F.col("px") / SPOT_PX + 0.5),
             "spot_y": F.floor(F.col("py") / SPOT_PX + 0.5),
         }
@@ -237,7 +238,7 @@ def thin_for_zoom(
         return dx * dx + dy * dy < float(CROWD_PX * CROWD_PX)
 
     rules = [
-        Crowding(["tile_x", "tile_y"], "spot_x", "spot_y", 1, 0, same_spot),
-        Crowding(["tile_x", "tile_y", "ident"], "px", "py", CROWD_PX, 1, too_close),
+        Crowding(tile, "spot_x", "spot_y", 1, 0, same_spot),
+        Crowding([*tile, "ident"], "px", "py", CROWD_PX, 1, too_close),
     ]
-    return thin(placed, ["tile_x", "tile_y"], rules, fold_limit)
+    return thin(placed, tile, rules, fold_limit) if tile else _rounds(placed, rules)

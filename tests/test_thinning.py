@@ -62,3 +62,17 @@ def test_zoom_thinning_is_the_ordered_fold(spark, limit):
             px[o] = (*px[o], True)
     want = sorted(o for o, v in px.items() if len(v) == 4)
     assert got == want and 10 < len(want) < len(rows)
+
+
+def test_zoom_thinning_of_the_whole_canvas(spark):
+    rows = sites(2, 250) + [(900, "EDGE", "fix", 4.0, -0.001), (901, "EDGE", "fix", 4.0, 0.001)]  # a tile border at 0
+    df = spark.createDataFrame(rows, SITES)
+    got = sorted(r.ord for r in thinning.thin_for_zoom(df, 7.0).collect())
+    x, y = thinning.mercator_px(F.col("lat"), F.col("lon"), 7.0)
+    kept = []
+    for o, ident, a, b in sorted(df.select("ord", "ident", x.alias("x"), y.alias("y")).collect()):
+        spot = (int((a / 2 + 0.5) // 1), int((b / 2 + 0.5) // 1))
+        if not any(s == spot or (i == ident and (c - a) ** 2 + (d - b) ** 2 < 1600) for _, i, c, d, s in kept):
+            kept.append((o, ident, a, b, spot))
+    assert got == [k[0] for k in kept] and 900 in got and 901 not in got
+    assert thinning.thin_for_zoom(df.limit(0), 7.0).count() == 0

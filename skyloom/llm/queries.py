@@ -10,6 +10,7 @@ from skyloom.llm import (
     chat,
     decontaminate,
     exact_dedup,
+    merkle,
     minhash,
     packing,
     quality,
@@ -184,3 +185,70 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_chat")
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair_roles(table(spark, sf_dir, "conversations"))
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bits = f"flatten([[(ascii(c) >> i) & 1 for i in range(8)] for c in string_split({text}, '')])"
+    step = "xor(c >> 1, 3988292384 * xor(c & 1, b))"
+    return f"xor(list_reduce(list_transform({bits}, lambda b: cast(b as bigint)), lambda c, b: {step}, 4294967295), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"case when {value} is null then '-' else strlen(cast({value} as varchar)) || ':' || cast({value} as varchar) end"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(v) for v in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+OP13 = f"""
+with recursive leaves as (
+    select row_number() over () as r, doc_id, lang, {_leaf('n_chars')} as leaf,
+           {_leaf(f"(n_chars + case when {_crc32('cast(doc_id as varchar)')} % 7 = 0 then 1 else 0 end)")} as claimed
+    from documents
+),
+placed as (
+    select *, row_number() over (partition by lang order by doc_id nulls first, leaf, r) - 1 as i, count(*) over (partition by lang) as n
+    from leaves
+),
+inside(lang, lvl, i, n, h) as (
+    select lang, 0, i, n, leaf from placed
+    union all
+    select lang, lvl + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' order by i))
+    from inside where n > 1 group by lang, lvl, i // 2
+),
+subroots as (
+    select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n
+    from inside where n = 1
+),
+above(lvl, i, n, h) as (
+    select 0, i, n, subroot from subroots
+    union all
+    select lvl + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' order by i))
+    from above where n > 1 group by lvl, i // 2
+),
+nodes as (
+    select lang, false as top, lvl, i, n, h from inside union all select null, true, lvl, i, n, h from above
+),
+walk(r, lang, top, lvl, i, n, h, proof) as (
+    select r, lang, false, 0, i, n, claimed, '' from placed
+    union all
+    select w.r, w.lang, w.top or w.n = 1, case when w.n = 1 then 0 else w.lvl + 1 end,
+           case when w.n = 1 then s.i else w.i // 2 end, case when w.n = 1 then s.n else (w.n + 1) // 2 end,
+           case when w.n = 1 then w.h when w.i % 2 = 1 then sha256(o.h || w.h) else sha256(w.h || coalesce(o.h, '')) end,
+           w.proof || case when w.n = 1 then '' else coalesce(o.h, '') end
+    from walk w
+    left join nodes o on o.top = w.top and (w.top or o.lang is not distinct from w.lang) and o.lvl = w.lvl and o.i = xor(w.i, 1)
+    left join subroots s on s.lang is not distinct from w.lang
+    where not (w.top and w.n = 1)
+)
+select p.doc_id, p.leaf, s.subroot, t.h as root, sha256(w.proof) as proof_sha256, w.h as folded_root, w.h = t.h as verified
+from walk w join placed p using (r) join subroots s on s.lang is not distinct from w.lang, above t
+where w.top and w.n = 1 and t.n = 1
+"""
+
+
+@query("op13_merkle", OP13)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered_fields=merkle.tampering())

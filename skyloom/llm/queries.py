@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm import (
+    alignment,
     chat,
     decontaminate,
     exact_dedup,
@@ -187,6 +188,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair_roles(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 def _crc32(text: str) -> str:
     """CRC-32 of an ASCII text, bit by bit."""
     bits = f"flatten([[(ascii(c) >> i) & 1 for i in range(8)] for c in string_split({text}, '')])"

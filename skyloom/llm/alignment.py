@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,8 @@ from skyloom.llm.common import text_key, written
 BORDER = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
+#: Text that the rank encoder splits like the first tokenizer, whatever their libraries know of later letters.
+LATIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*")
 
 
 @dataclass
@@ -40,7 +45,7 @@ class Words:
 class Aligner:
     """Both tokenizers, with the bytes of their tokens."""
 
-    def __init__(self, path_a: str, path_b: str, joined: int = 20_000, large: int = 10_000):
+    def __init__(self, path_a: str, path_b: str, joined: int = 2_000, large: int = 10_000):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -51,6 +56,7 @@ class Aligner:
         pieces = sorted(self.a.get_vocab().items(), key=lambda x: x[1])
         specials = {t.content for t in self.a.get_added_tokens_decoder().values()}
         self.bytes_a = [b"" if p in specials else bytes(own[c] for c in p) for p, _ in pieces]
+        self.ranks = _rank_encoder(self.a, self.bytes_a)
         self.b = SentencePieceProcessor(model_file=path_b)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(SPACE in x.lstrip(SPACE) for x in names):
@@ -64,32 +70,35 @@ class Aligner:
 
     def _ids(self, text: str) -> tuple[list[int], list[int], bool]:
         """Ids of a space and text, and whether both tokenizers give its bytes back."""
-        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        if self.ranks and LATIN.fullmatch(text):
+            a = self.ranks.encode_ordinary(" " + text)
+        else:
+            a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
         b = self.b.encode(text, num_threads=1)
         whole = (" " + text).encode()
         same = b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
         return (a, b, True) if same else ([], [], False)
 
-    def _portions(self, words: list[str]) -> Iterator[list[int]]:
-        """Places of words that are encoded as one text; one with space at its ends stays alone."""
-        held, size = [], 0
+    def _portions(self, words: list[str], odd: set[str]) -> Iterator[list[int]]:
+        """Places of words that are encoded as one text: Latin ones, others, and each odd one alone."""
+        plain: list[int] = []
+        other: list[int] = []
         for i, word in enumerate(words):
-            if not word or word[0].isspace() or word[-1].isspace():
+            if word in odd:
                 yield [i]
-                continue
-            held.append(i)
-            size += len(word) + 1
-            if size > self.joined:
-                yield held
-                held, size = [], 0
-        if held:
-            yield held
-
-    def words(self, words: list[str]) -> Words:
-        """Aligns distinct words; a word that does not come back from both tokenizers is not good."""
+            else:
+                (plain if word.isascii() or LATIN.fullmatch(word) else other).append(i)
+        for held in (plain, other):
+            yield from (held[i : i + self.joined] for i in range(0, len(held), self.joined))
+
+    def words(self, words: list[str], odd: set[str]) -> Words:
+        """Aligns distinct words; one that does not come back from both tokenizers is not good.
+
+        Odd are those that begin or end with space, so that they cannot be joined with others.
+        """
         ids_a, ids_b, order = [], [], []
         good = np.ones(len(words), dtype=bool)
-        for part in self._portions(words):
+        for part in self._portions(words, odd):
             a, b, same = self._ids(" ".join([words[i] for i in part]))
             if same:
                 ids_a.append(a)
@@ -101,7 +110,7 @@ class Aligner:
                 ids_a.append(a)
                 ids_b.append(b)
                 order.append(i)
-        a, b = (np.array([x for part in p for x in part], np.int64) for p in (ids_a, ids_b))
+        a, b = (np.array(list(chain.from_iterable(p)), np.int64) for p in (ids_a, ids_b))
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         word_end = np.cumsum([len(words[i].encode()) + 1 if good[i] else 0 for i in order])
         common = np.intersect1d(end_a, end_b, assume_unique=True)
@@ -162,6 +171,40 @@ class Aligner:
         return out
 
 
+def _rank_encoder(tokenizer, pieces: list[bytes]):
+    """An encoder by ranks that gives the tokenizer's ids, or None if it would not.
+
+    It joins whatever makes the token of least id, the tokenizer only what its merges name. Within a token the
+    joins are those of its bytes alone, so both agree if, of every token, the last join is a merge, and the
+    merges rise with the ids of what they make.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    model = json.loads(tokenizer.to_str())["model"]
+    ids = model["vocab"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    made = [ids[x + y] for x, y in merges]
+    own = {i: piece for piece, i in ids.items()}
+    ranks = {x: i for i, x in enumerate(pieces) if x}
+    named = set(merges)
+    if made != sorted(made) or any(_last_join(ranks, pieces, own, i) not in named for i in made):
+        return None
+    return tiktoken.Encoding("aligned", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _last_join(ranks: dict[bytes, int], pieces: list[bytes], own: dict[int, str], token: int) -> tuple[str, ...]:
+    """The two tokens that are joined last to make a token."""
+    parts = [pieces[token][i : i + 1] for i in range(len(pieces[token]))]
+    while len(parts) > 2:
+        found = [ranks.get(x + y, token) for x, y in pairwise(parts)]
+        at = found.index(min(found))
+        if found[at] >= token:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return tuple(own[ranks[p]] for p in parts)
+
+
 def _byte_signs() -> list[str]:
     """The sign that stands for each byte in a byte-level vocabulary: itself if it prints, else one from U+0100 on."""
     out, more = [], 0x100
@@ -213,18 +256,24 @@ def segments(text: str, most: int) -> Iterator[str]:
 
 def measure_segments(aligner: Aligner, parts: list[tuple[Measure, str]]) -> None:
     """Adds the alignments of parts of texts to what is known of them; each distinct word is aligned once."""
-    words = [BORDER.split(text) for _, text in parts]
-    number: dict[str, int] = {}
-    codes = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in words]
-    found = aligner.words(list(number))
+    number: dict[str, int] = defaultdict(count().__next__)
+    codes, odd = [], set()
+    for _, text in parts:
+        words = BORDER.split(text)
+        codes.append(list(map(number.__getitem__, words)))
+        odd.update(w for w in (words[0], words[-1]) if not w or w[0].isspace() or w[-1].isspace())
+    found = aligner.words(list(number), odd)
+    number.clear()
     table = np.stack([found.n_a, found.n_b, found.n_groups, found.n_links])
-    for (to, _), code in zip(parts, codes, strict=True):
+    shown_of = found.shown.__getitem__
+    for (to, _), places in zip(parts, codes, strict=True):
+        code = np.array(places)
         to.good = to.good and bool(found.good[code].all())
         if not to.good:
             to.pairs.clear()
             continue
         to.sums += table[:, code].sum(axis=1)
-        shown = ";".join([found.shown[i] for i in code.tolist()]).encode()
+        shown = ";".join(map(shown_of, places)).encode()
         if to.digest is None:
             to.digest = hashlib.sha256(shown)
         else:

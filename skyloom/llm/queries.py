@@ -10,6 +10,7 @@ from skyloom.llm import (
     alignment,
     chat,
     decontaminate,
+    edit_prints,
     exact_dedup,
     merkle,
     minhash,
@@ -188,6 +189,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair_roles(table(spark, sf_dir, "conversations"))
 
 
+@query("op11_fingerprints")
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_prints.edit_prints(table(spark, sf_dir, "documents"))
+
+
 @query("op12_alignment")
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokens(table(spark, sf_dir, "documents"))

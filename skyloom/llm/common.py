@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.session import ensure_checkpoint_dir, forget_at_end
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Runs of ASCII letters and digits and of everything beyond ASCII, in lower-cased text.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -33,14 +35,30 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(WORD_PATTERN), F.lit(0))
 
 
+@contextmanager
+def _no_shuffle_files_kept(spark: SparkSession):
+    """Otherwise they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and go on from the table.
 
-    It is computed once and outlives executors. The folder goes when the application ends.
+    It is computed once and outlives executors. The folder goes when the application ends, shuffle files go
+    when the table is written.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _no_shuffle_files_kept(spark):
+        df.write.parquet(path)
     forget_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -583,7 +583,6 @@ def greedy_dedup(spark, sf):
 
 
 THIN_ZOOM = 6.0
-THIN_TILE = 512
 
 
 @query(
@@ -595,31 +594,24 @@ THIN_TILE = 512
       from {oracle('sites')} s
     ),
     numbered as (
-      select *, floor(px / {THIN_TILE}) as tx, floor(py / {THIN_TILE}) as ty, floor(px / 2 + 0.5e0) as sx, floor(py / 2 + 0.5e0) as sy,
-             row_number() over (partition by floor(px / {THIN_TILE}), floor(py / {THIN_TILE}) order by ord) as i
-      from px
+      select *, floor(px / 2 + 0.5e0) as sx, floor(py / 2 + 0.5e0) as sy, row_number() over (order by ord) as i from px
     ),
     fold as (
-      select tx, ty, cast(0 as bigint) as i,
+      select cast(0 as bigint) as i,
              cast([] as struct(ord bigint, ident varchar, px double, py double, sx double, sy double)[]) as kept
-      from (select distinct tx, ty from numbered) d
       union all
-      select f.tx, f.ty, n.i,
+      select n.i,
              case when len(list_filter(f.kept, lambda k: (k.sx = n.sx and k.sy = n.sy) or (k.ident = n.ident
                       and (k.px - n.px) * (k.px - n.px) + (k.py - n.py) * (k.py - n.py) < 1600e0))) > 0
                   then f.kept
                   else list_append(f.kept, {{'ord': n.ord, 'ident': n.ident, 'px': n.px, 'py': n.py, 'sx': n.sx, 'sy': n.sy}}) end
-      from fold f join numbered n on n.tx = f.tx and n.ty = f.ty and n.i = f.i + 1
-    ),
-    final as (select tx, ty, kept from fold qualify row_number() over (partition by tx, ty order by i desc) = 1)
-    select cast(f.tx as bigint) as tile_x, cast(f.ty as bigint) as tile_y, u.k.ord as ord, u.k.ident as ident
-    from final f, unnest(f.kept) as u(k)
+      from fold f join numbered n on n.i = f.i + 1
+    )
+    select u.k.ord as ord, u.k.ident as ident from (select kept from fold order by i desc limit 1) f, unnest(f.kept) as u(k)
     """,
 )
 def zoom_thinning(spark, sf):
-    return thinning.thin_for_zoom(adapt(spark, sf, "sites"), THIN_ZOOM, THIN_TILE).select(
-        "tile_x", "tile_y", "ord", "ident"
-    )
+    return thinning.thin_for_zoom(adapt(spark, sf, "sites"), THIN_ZOOM).select("ord", "ident")
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,13 +168,37 @@ def snap_time(positions: DataFrame, timed: DataFrame) -> DataFrame:
     )
 
 
+def _leg_starts(changes: DataFrame) -> DataFrame:
+    """(aircraft, __us, ord) of the changes that start a leg: one pass in order, which keeps the last start only."""
+    kind = {f.name: f.dataType.simpleString() for f in changes.schema.fields}
+    out = ["aircraft", "__us", "ord"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, call, lat, lon = None, None, None, None
+        for part in parts:
+            keep = []
+            columns = [part[c].tolist() for c in ("aircraft", "bucket", "callsign", "start_lat", "start_lon")]
+            for aircraft, bucket, c, la, lo in zip(*columns, strict=True):
+                fresh = group != (aircraft, bucket) or c != call
+                if not fresh and None not in (la, lo, lat, lon):  # a NaN is never beyond the distance
+                    fresh = (la - lat) ** 2 + (lo - lon) ** 2 > START_MOVED_D2
+                if fresh:
+                    group, call, lat, lon = (aircraft, bucket), c, la, lo
+                keep.append(fresh)
+            yield part.loc[keep, out]
+
+    tasks = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = changes.repartition(tasks, "aircraft", "bucket").sortWithinPartitions("aircraft", "bucket", "__us", "ord")
+    return dealt.mapInPandas(run, ", ".join(f"{c} {kind[c]}" for c in out))
+
+
 def leg_ids(polls: DataFrame) -> DataFrame:
     """Leg number per poll: aircraft, ts, ord, callsign, start_lat, start_lon -> new_leg, leg_id.
 
     A leg starts when the callsign changes, when the track start moved against the start kept
     at the last leg start, or when a 15-minute bucket begins. Every bucket therefore begins
     with a fresh state, and a poll that repeats its predecessor never starts a leg: only the
-    changes inside one bucket have to be folded in order. Polls without callsign change
+    changes inside one bucket pass by in order, in one task that keeps the last start. Polls without callsign change
     nothing.
     """
     base = polls.withColumn("bucket", leg_bucket(F.col("ts").cast("timestamp")))
@@ -186,39 +213,14 @@ def leg_ids(polls: DataFrame) -> DataFrame:
         same = same & F.col("p")[c].eqNullSafe(F.col(c))
     changes = prev.where(~same)
 
-    item = F.struct("ts", "ord", *state)
-    folded = changes.groupBy("aircraft", "bucket").agg(
-        F.array_sort(F.collect_list(item)).alias("rows")
-    )
-
-    def step(acc: Column, r: Column) -> Column:
-        d_lat = r["start_lat"] - acc["lat"]
-        d_lon = r["start_lon"] - acc["lon"]
-        moved = F.coalesce(d_lat * d_lat + d_lon * d_lon > START_MOVED_D2, F.lit(False))
-        fresh = (~r["callsign"].eqNullSafe(acc["callsign"])) | moved
-        return F.struct(
-            F.when(fresh, r["callsign"]).otherwise(acc["callsign"]).alias("callsign"),
-            F.when(fresh, r["start_lat"]).otherwise(acc["lat"]).alias("lat"),
-            F.when(fresh, r["start_lon"]).otherwise(acc["lon"]).alias("lon"),
-            F.when(
-                fresh, F.concat(acc["hits"], F.array(F.struct(r["ts"].alias("ts"), r["ord"].alias("ord"))))
-            ).otherwise(acc["hits"]).alias("hits"),
-        )
-
-    first = F.struct(
-        F.lit(None).cast("string").alias("callsign"),
-        F.lit(None).cast("double").alias("lat"),
-        F.lit(None).cast("double").alias("lon"),
-        F.transform(
-            F.slice("rows", 1, 0), lambda r: F.struct(r["ts"].alias("ts"), r["ord"].alias("ord"))
-        ).alias("hits"),
-    )
-    starts = folded.select(
-        "aircraft", F.explode(F.aggregate("rows", first, step)["hits"]).alias("h")
-    ).select("aircraft", F.col("h")["ts"].alias("ts"), F.col("h")["ord"].alias("ord"),
-             F.lit(True).alias("new_leg"))
-    flagged = base.join(starts, ["aircraft", "ts", "ord"], "left").withColumn(
-        "new_leg", F.coalesce("new_leg", F.lit(False))
+    # Microseconds: pandas would take timestamps through local time.
+    moment = F.unix_micros(F.col("ts").cast("timestamp"))
+    starts = _leg_starts(changes.select("aircraft", "bucket", moment.alias("__us"), "ord", *state))
+    flagged = (
+        base.withColumn("__us", moment)
+        .join(starts.withColumn("new_leg", F.lit(True)), ["aircraft", "__us", "ord"], "left")
+        .withColumn("new_leg", F.coalesce("new_leg", F.lit(False)))
+        .drop("__us")
     )
     return scans.running_sum(
         flagged, ["aircraft"], ["ts", "ord"], chunk, F.col("new_leg").cast("int"), "leg_id"

@@ -156,11 +156,14 @@ select p_partkey as ord, substr(replace(upper(p_name), ' ', ''), 1, 5) as ident,
 from {part}
 """
 
+# Half of all polls share one aircraft and one moment; starts drift in steps of which no two in a row
+# are a leg's worth.
 POLLS = """
-select user_id as aircraft, event_id as ord, cast(ts as timestamp) as ts,
-       case when event_id % 11 = 0 then '' when event_id % 4 = 0 then 'B' else 'A' end as callsign,
-       cast(user_id % 40 as double) as start_lat,
-       cast(day(ts) % 3 as double) as start_lon
+select case when user_id % 2 = 0 then 0 else user_id % 10 end as aircraft, event_id as ord,
+       cast(date_trunc(case when user_id % 2 = 0 then 'month' else 'day' end, ts) as timestamp) as ts,
+       case when event_id % 11 = 0 then '' when event_id % 40 < 8 then 'B' else 'A' end as callsign,
+       30e0 + cast(event_id % 13 as double) * 0.004e0 as start_lat,
+       cast(user_id % 3 as double) * 0.005e0 as start_lon
 from {events}
 """
 

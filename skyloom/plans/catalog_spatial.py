@@ -214,24 +214,12 @@ def time_snap(spark, sf):
 
 @query(
     "leg_ids",
-    # The start of a track is constant within a day here, so comparing with the previous poll
-    # is the same as comparing with the last leg start.
     f"""
-    with b as (select *, floor(epoch_ms(ts) / 9e5) as bucket from {oracle('polls')} p),
-    c as (
-      select *, lag(callsign) over w as p_call, lag(bucket) over w as p_bucket,
-             lag(start_lat) over w as p_lat, lag(start_lon) over w as p_lon
-      from b where callsign <> '' window w as (partition by aircraft order by ts, ord)
-    ),
-    f as (
-      select aircraft, ts, ord, (p_bucket is null or p_call <> callsign or p_bucket <> bucket
-               or (start_lat - p_lat) * (start_lat - p_lat) + (start_lon - p_lon) * (start_lon - p_lon) > 0.0001e0) as new_leg
-      from c
-    )
+    with f as materialized (select * from {O.legs(oracle('polls'))} l)
     select b.aircraft, b.ord, b.callsign, coalesce(f.new_leg, false) as new_leg,
            cast(sum(case when f.new_leg then 1 else 0 end)
                 over (partition by b.aircraft order by b.ts, b.ord) as bigint) as leg_id
-    from b left join f on f.aircraft = b.aircraft and f.ts = b.ts and f.ord = b.ord
+    from {oracle('polls')} b left join f on f.aircraft = b.aircraft and f.ts = b.ts and f.ord = b.ord
     """,
 )
 def leg_ids(spark, sf):

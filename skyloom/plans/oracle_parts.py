@@ -141,3 +141,38 @@ def segments(points: str) -> str:
         from {points} pts
       ) s where b_lat is not null
     )"""
+
+
+def legs(polls: str) -> str:
+    """Polls with a callsign folded in order: aircraft, ts, ord, callsign, new_leg, by the state of the last leg start."""
+    return f"""(
+      with recursive n as (
+        select *, floor(epoch_ms(ts) / 9e5) as bucket, row_number() over (partition by aircraft order by ts, ord) as i
+        from {polls} p where callsign <> ''
+      ),
+      fold(aircraft, i, new_leg, call, lat, lon, held) as (
+        select aircraft, i, true, callsign, start_lat, start_lon, bucket from n where i = 1
+        union all
+        select aircraft, i, fresh, case when fresh then callsign else call end, case when fresh then start_lat else lat end,
+               case when fresh then start_lon else lon end, case when fresh then bucket else held end
+        from (
+          select n.*, f.call, f.lat, f.lon, f.held,
+                 f.call <> n.callsign or f.held <> n.bucket or (n.start_lat - f.lat) * (n.start_lat - f.lat)
+                   + (n.start_lon - f.lon) * (n.start_lon - f.lon) > 0.0001e0 as fresh
+          from fold f join n on n.aircraft = f.aircraft and n.i = f.i + 1
+        ) s
+      )
+      select n.aircraft, n.ts, n.ord, n.callsign, f.new_leg from n join fold f on f.aircraft = n.aircraft and f.i = n.i
+    )"""
+
+
+def by_flight(positions: str, idle_us: int) -> str:
+    """Positions with the flight, the first moment after a silence, joined to the aircraft by an @."""
+    return f"""(
+      select * replace (aircraft || '@' || max(begins) over (partition by aircraft order by ts, ord rows unbounded preceding) as aircraft)
+      from (
+        select *, case when coalesce(epoch_us(ts) - lag(epoch_us(ts)) over (partition by aircraft order by ts, ord) > {idle_us}, true)
+                       then epoch_us(ts) end as begins
+        from {positions} p
+      ) g
+    )"""

@@ -38,7 +38,7 @@ def to_fixed(c: Column, digits: int) -> Column:
     """Decimal text used as a rounding key: the stored binary value, half up; keeps the sign of a negative zero.
 
     ``round`` and formatting start from the shortest printed decimal. The product by a power of ten is
-    inexact, so its rounding error, taken from the split factors, decides about the half.
+    inexact, so its rounding error, taken from the split factors, decides about the half. NaN is NaN.
     """
     scale = 10**digits
     x = F.abs(c.cast("double"))
@@ -48,11 +48,10 @@ def to_fixed(c: Column, digits: int) -> Column:
     whole = F.floor(product)
     up = (product - whole - 0.5) + error >= 0
     n = whole + F.when(up, 1).otherwise(0)
-    sign = F.when(c < 0, "-").otherwise("")
-    if not digits:
-        return F.concat(sign, n.cast("string"))
-    tail = F.lpad((n % scale).cast("string"), digits, "0")
-    return F.concat(sign, F.floor(n / scale).cast("string"), F.lit("."), tail)
+    text = F.concat(F.when(c < 0, "-").otherwise(""), F.floor(n / scale).cast("string"))
+    if digits:
+        text = F.concat(text, F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
+    return F.when(F.isnan(c.cast("double")), F.lit("NaN")).otherwise(text)
 
 
 def parse_float_prefix(c: Column) -> Column:

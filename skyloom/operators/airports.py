@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import geo
 from skyloom.functions.phonetic import TextKeys, best_score
 from skyloom.functions.text import js_upper_trim, round1
+from skyloom.operators.grid import salted_join
 from skyloom.operators.ranking import take_first, with_place
 from skyloom.operators.spatial import BOX, nearest_join, within_radius_join
 from skyloom.operators.tracks import end_points
@@ -124,7 +125,7 @@ def search_nearby(nearby: DataFrame, queries: DataFrame, dialect: str = "page")
         floor(F.upper("iata") == F.col("q"), FLOOR_IATA),
     )
     found = (
-        texts.join(asked, "aircraft")
+        salted_join(texts, asked, ["aircraft"], ["ord"])
         .withColumn("score", total)
         .where(F.col("score") >= NEARBY_SCORE)
         .drop("qk", "clean_name", "upper_city", "keys")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import geo
 from skyloom.operators import grid
 from skyloom.operators.ranking import take_first
+from skyloom.session import cut_lineage
 
 BOX = ["min_lat", "max_lat", "min_lon", "max_lon"]
 
@@ -169,6 +171,30 @@ def within_radius_join(
     )
 
 
+#: Radii that a nearest-site search begins with, as parts of the whole one.
+RING_STEPS = (64, 16, 4)
+
+#: Sites that a probe may measure without asking for rings.
+FEW_SITES = 64
+
+
+def _first_step(probes: DataFrame, sites: DataFrame, max_nm: float) -> int:
+    """The largest of RING_STEPS whose cells still hold sites enough that most probes find one, 1 if few are met.
+
+    From the counts of probes and sites in the cells of the whole radius.
+    """
+    size = grid.cell_size_for(max_nm)
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        cell = grid.point_cell(F.col("lat"), F.col("lon"), size)
+        return rows.groupBy(cell.alias("__cell")).agg(F.count(F.lit(1)).alias(name))
+
+    met = counted(probes, "p").join(counted(sites, "s"), "__cell")
+    around = met.agg((F.sum(F.col("p") * F.col("s")) / F.sum("p")).alias("n")).first()["n"] or 0
+    fits = [step for step in RING_STEPS if around >= FEW_SITES and around / (step * step) >= 2]
+    return max(fits, default=1)
+
+
 def nearest_join(
     probes: DataFrame,
     sites: DataFrame,
@@ -176,20 +202,37 @@ def nearest_join(
     max_nm: float = 30.0,
     site_cols: Sequence[str] = ("icao",),
     out: str = "nearest",
+    step: int | None = None,
 ) -> DataFrame:
     """Each probe with a struct of its nearest site (first in ``ord`` on a tie) or NULL.
 
-    Of several sites at one position only the first can win, so copies are dropped up front.
+    Of several sites at one position only the first can win, so copies are dropped up front. Where a probe
+    would measure many sites, the search begins with a part of the radius (1 / ``step``, by
+    default from the sites' density): a site within it is nearer than all beyond, so the probe
+    leaves, and only the others go on to a radius four times as long.
     """
     unique = take_first(sites, ["lat", "lon"], ["ord"])
-    near = within_radius_join(probes, unique, max_nm, probe_id)
-    best = near.groupBy(*probe_id).agg(
-        F.min_by(
-            F.struct(*[F.col(c) for c in site_cols], F.col("distance_nm")),
-            F.struct("distance_nm", "ord"),
-        ).alias(out)
-    )
-    return probes.join(best, list(probe_id), "left")
+
+    def best_within(rows: DataFrame, radius: float) -> DataFrame:
+        near = within_radius_join(rows, unique, radius, probe_id)
+        return near.groupBy(*probe_id).agg(
+            F.min_by(
+                F.struct(*[F.col(c) for c in site_cols], F.col("distance_nm")),
+                F.struct("distance_nm", "ord"),
+            ).alias(out)
+        )
+
+    step = _first_step(probes, unique, max_nm) if step is None else step
+    if step == 1:
+        return probes.join(best_within(probes, max_nm), list(probe_id), "left")
+    unique = cut_lineage(unique)
+    rest, found = probes.select(*probe_id, "lat", "lon"), []
+    while step > 1:
+        found.append(cut_lineage(best_within(rest, max_nm / step)))
+        rest = cut_lineage(rest.join(found[-1], list(probe_id), "left_anti"))
+        step = 1 if step < 4 else step // 4
+    found.append(best_within(rest, max_nm))
+    return probes.join(reduce(DataFrame.unionByName, found), list(probe_id), "left")
 
 
 def navaids_once(

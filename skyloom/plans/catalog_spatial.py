@@ -388,11 +388,13 @@ def _zone_queries(spark, sf):
                     case when contains(search_text, qtext) then 200 else 0 end) as bigint) as score
       from uniq u join t_ k1 on k1.text = u.ident join t_ k2 on k2.text = u.name join qk q on q.text = u.qtext
     )
-    select aircraft, qtext as q, zone, ident, type, ord, score from sc where score >= 60""",
+    select aircraft, qtext as q, zone, ident, type, ord, score,
+           row_number() over (partition by aircraft order by score desc, zr, nearest_seg desc, first_seen) as place
+    from sc where score >= 60""",
 )
 def zone_search(spark, sf):
     return corridor.search_zones(_zones(spark, sf), _zone_queries(spark, sf)).select(
-        "aircraft", "q", "zone", "ident", "type", "ord", "score"
+        "aircraft", "q", "zone", "ident", "type", "ord", "score", "place"
     )
 
 
@@ -472,18 +474,27 @@ def nearby_sites(spark, sf):
       select n.*, q_.qtext, regexp_replace(upper(name), '[^A-Z ]', '', 'g') as clean, upper(city) as ucity
       from near_ n join q_ on q_.aircraft = n.aircraft
     ),
-    t_ as (select * from {O.text_keys('(select icao as text from c union select clean from c union select ucity from c)', 'page')} k),
+    words as (select distinct clean, unnest(string_split(clean, ' ')) as word from c),
+    t_ as (select * from {O.text_keys("""(select icao as text from c union select clean from c union select ucity from c
+                                          union select word from words where length(word) >= 3)""", 'page')} k),
     qk as (select * from {O.text_keys('(select distinct qtext as text from q_)', 'page')} k),
+    by_word as (
+      select q.text as qtext, w.clean, max({O.score('kw', 'q')}) as best
+      from words w join t_ kw on kw.text = w.word and length(w.word) >= 3 cross join qk q group by all
+    ),
     sc as (
-      select c.*, cast(greatest({O.score('k1', 'q')}, {O.score('k2', 'q')}, {O.score('k3', 'q')},
-               case when contains(icao, qtext) then 250 else 0 end,
-               case when contains(clean, qtext) then 200 else 0 end,
-               case when contains(ucity, qtext) then 160 else 0 end,
-               case when iata = qtext then 300 else 0 end) as bigint) as score
+      select c.aircraft, c.qtext as q, c.ord, c.icao, c.d,
+             cast(greatest({O.score('k1', 'q')}, {O.score('k2', 'q')}, {O.score('k3', 'q')}, coalesce(bw.best, 0),
+               case when contains(icao, c.qtext) then 250 else 0 end,
+               case when contains(c.clean, c.qtext) then 200 else 0 end,
+               case when contains(ucity, c.qtext) then 160 else 0 end,
+               case when iata = c.qtext then 300 else 0 end) as bigint) as score
       from c join t_ k1 on k1.text = c.icao join t_ k2 on k2.text = c.clean join t_ k3 on k3.text = c.ucity
-      join qk q on q.text = c.qtext
+      join qk q on q.text = c.qtext left join by_word bw on bw.qtext = c.qtext and bw.clean = c.clean
     )
-    select aircraft, qtext as q, ord, icao, score from sc where score >= 50""",
+    select aircraft, q, ord, icao, score,
+           row_number() over (partition by aircraft order by score desc, case when d < 2 then d - 5 else d end, ord) as place
+    from sc where score >= 50""",
 )
 def nearby_search(spark, sf):
     users = adapt(spark, sf, "positions").select("aircraft").distinct()
@@ -492,7 +503,9 @@ def nearby_search(spark, sf):
         F.col("aircraft").alias("query_id"), "aircraft",
         F.when(k == 0, "SUPLIER").when(k == 1, "K01").when(k == 2, "005").otherwise("NATION").alias("query"),
     )
-    return ap.search_nearby(_nearby(spark, sf), asked).select("aircraft", "q", "ord", "icao", "score")
+    return ap.search_nearby(_nearby(spark, sf), asked).select(
+        "aircraft", "q", "ord", "icao", "score", "place"
+    )
 
 
 ENDS_CTE = f"""

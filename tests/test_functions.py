@@ -56,6 +56,7 @@ def test_text_helpers(spark):
     assert value(spark, text.js_round(F.lit(2.5))) == 3
     assert value(spark, text.round1(F.lit(3.25))) == 3.3
     assert value(spark, text.to_fixed(F.lit(-0.000001), 4)) == "-0.0000"
+    assert value(spark, text.to_fixed(F.lit(float("nan")), 5)) == "NaN"
     # Ties of the printed decimal that are none of the stored value, and a true tie.
     for x, digits, key in [(40.123455, 5, "40.12345"), (12.345675, 5, "12.34567"), (33.000015, 5, "33.00001"),
                            (0.015625, 5, "0.01563"), (-0.015625, 5, "-0.01563"), (7.0, 4, "7.0000"), (2.5, 0, "3")]:

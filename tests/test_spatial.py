@@ -93,10 +93,27 @@ def test_radius_and_nearest_are_brute_force(spark, radius, salted, request):
     want = sorted(k for k, v in d.items() if v <= radius)
     assert sorted((r.pid, r.ord) for r in got.collect()) == want
     assert (902, 902) in want
-    near = spatial.nearest_join(p, s, ["pid"], radius)
-    for r in near.collect():
-        best = min((v, j) for (i, j), v in d.items() if i == r.pid)
-        assert (r.nearest.icao if r.nearest else None) == (best[1] if best[0] <= radius else None)
+    for step in (None, 16):
+        near = spatial.nearest_join(p, s, ["pid"], radius, step=step)
+        for r in near.collect():
+            best = min((v, j) for (i, j), v in d.items() if i == r.pid)
+            assert (r.nearest.icao if r.nearest else None) == (best[1] if best[0] <= radius else None)
+
+
+def test_nearest_measures_what_is_near(spark, monkeypatch):
+    """3,000 sites within the radius of every probe: a probe measures a few of them."""
+    rng = random.Random(2)
+    probes = [(i, rng.uniform(40, 40.4), rng.uniform(-100, -99.6)) for i in range(300)]
+    sites = [(i, rng.uniform(39.9, 40.5), rng.uniform(-100.1, -99.5)) for i in range(3000)]
+    p = frame(spark, probes, ["pid", "lat", "lon"])
+    s = frame(spark, sites, ["ord", "lat", "lon"]).withColumn("icao", F.col("ord"))
+    measured = []
+    pairs = spatial.within_radius_join
+    monkeypatch.setattr(spatial, "within_radius_join", lambda *a: measured.append(pairs(*a)) or measured[-1])
+    for r in spatial.nearest_join(p, s, ["pid"]).collect():
+        best = min((plain.haversine(*probes[r.pid][1:], x, y), j) for j, x, y in sites)
+        assert r.nearest.icao == best[1]
+    assert len(measured) > 1 and sum(m.count() for m in measured) < 40 * len(probes)
 
 
 @pytest.mark.parametrize("salted", [False, True])

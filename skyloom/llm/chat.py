@@ -71,8 +71,16 @@ def run_costs(roles: bytes) -> tuple[list[int], list[int]]:
     return cost.ravel().tolist(), turns.ravel().tolist()
 
 
-@lru_cache(maxsize=50_000)
+#: Runs up to this length are remembered: at most some 40 MB.
+MOST_CACHED, CACHED_RUNS = 64, 8192
+
+
 def repair_run(roles: bytes, begin: int, end: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    """cheapest_run, remembered for short runs."""
+    return _cached_run(roles, begin, end) if len(roles) <= MOST_CACHED else cheapest_run(roles, begin, end)
+
+
+def cheapest_run(roles: bytes, begin: int, end: int) -> list[tuple[int, int, tuple[int, ...]]]:
     """The cheapest path through the turns from one state to another: (role, merged, inserted) per turn.
 
     Of paths of equal cost, one with the fewest turns.
@@ -99,6 +107,9 @@ def repair_run(roles: bytes, begin: int, end: int) -> list[tuple[int, int, tuple
     return path[::-1]
 
 
+_cached_run = lru_cache(maxsize=CACHED_RUNS)(cheapest_run)
+
+
 def render(role: str, text: str, first: bool) -> str:
     """A turn's head and text, or what a merged turn adds to the turn before."""
     return f"<|{role}|>\n{text}" if first else f"\n\n{text}"

@@ -141,7 +141,11 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns. Equal texts share one verdict."""
+    """The rows of docs that are not contaminated, with all their columns. Equal texts share one verdict.
+
+    Null texts, and texts without words, stay; so do repeated rows. An empty table stays empty, and without items
+    all rows stay. Columns of any name are kept.
+    """
     found = contamination(docs, items, text_col=text_col, with_key=True, **settings).filter("contaminated")
     key = unused(docs, "_t")
     leaving = written(found.select(F.col("t").alias(key)).distinct(), "contaminated")

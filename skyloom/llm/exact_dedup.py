@@ -41,7 +41,7 @@ def _prefix(bits: int) -> Column:
 
 
 def _histogram(entries: DataFrame, capacity: int, step: int, most: int) -> list:
-    """Entries by leading bits; overfull prefixes are counted by more bits, round by round."""
+    """Keys by leading bits; overfull prefixes are counted by more bits, round by round."""
     bits = step
     found = [
         (r["p"], bits, r["n"])
@@ -66,23 +66,25 @@ def exact_copies(
     id_col: str = "doc_id",
     text_col: str = "text",
     key=F.xxhash64,
-    capacity: int = 1_000_000,
+    capacity: int = 16_384,
+    most_slots: int = 1 << 16,
     step: int = 6,
     most_bits: int = 24,
 ) -> DataFrame:
     """One row per input row: its id, the id that stays, the group's size, whether it stays, its digest.
 
-    Texts are equal when identical after lower-casing A-Z. Rows are written once as slim entries
-    (id, 64-bit key, digest). A histogram of key prefixes grows the directory; every owner task holds
-    whole buckets, so a key range, chains the entries of one key by digest and lets the largest id
-    stay. Where a key occurs more than once, the texts themselves are grouped: entries of one chain
-    hold identical bytes, or the job fails. Counts are combined before every shuffle, so a text
-    that a third of all rows share arrives as one entry per task.
+    Texts are equal when identical after lower-casing A-Z. Rows are written once as slim fingerprints
+    (id, 64-bit key, digest). A histogram of the distinct keys' prefixes grows the directory; it says which bucket a fingerprint
+    goes to. Owner tasks hold whole buckets: entries of one key are chained by digest, the largest id of an entry
+    stays, and the finished buckets are files in the shared folder. A row asks the bucket of its key and finds its entry
+    in the key's chain. Where a key occurs more than once, the texts themselves go to their bucket: entries
+    of one chain hold identical bytes, or the job fails. Rows and texts of a bucket are combined over salts before they
+    move to its owner, so a text that a third of all rows share arrives as a few entries.
 
     Nulls: a null text is an empty text; a null id is smaller than any other. Rows that repeat id and
-    text are copies, one of which stays. An empty table gives no rows. Other columns are not read.
-    The index has entries/capacity buckets; its directory holds at most 2**most_bits slots, beyond
-    which buckets chain.
+    text are copies, one of which stays. An empty table gives no rows. A text of any length is hashed and
+    compared whole. Other columns are not read. A bucket holds capacity keys, or more where there are over
+    capacity * most_slots; keys are told apart by most_bits bits, beyond which buckets chain.
     """
     spark = docs.sparkSession
     norm = ascii_lower(F.col(text_col))
@@ -95,64 +97,75 @@ def exact_copies(
         ),
         "fingerprints",
     )
+    keys = written(rows.select("h").distinct(), "keys")
+    capacity = max(capacity, keys.count() // most_slots)
+    depth, slots, buckets = split_directory(_histogram(keys, capacity, step, most_bits), capacity)
+    bucket = F.get(constant(slots, "array<int>"), _prefix(depth).cast("int")).alias("bucket")
+    owners = max(1, min(buckets, _tasks(spark)))
+
+    salt = F.pmod(F.col("row"), F.lit(SALTS)).alias("salt")
+    parts = rows.select(bucket, salt, "h", "text_sha256", "doc_id", "row")
+    parts = parts.groupBy("bucket", "salt", "h", "text_sha256").agg(
+        F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("top")
+    )
     entries = written(
-        rows.groupBy("h", "text_sha256").agg(
-            F.count("*").alias("group_size"),
-            F.max(F.struct("doc_id", "row")).alias("top"),
-        ),
+        parts.repartition(owners, "bucket")
+        .groupBy("bucket", "h", "text_sha256")
+        .agg(F.sum("n").alias("group_size"), F.max("top").alias("top")),
         "entries",
     )
-    depth, slots, buckets = split_directory(_histogram(entries, capacity, step, most_bits), capacity)
-
     # A table, not a grouping: only so may adaptive execution split the texts of a hot key in the join.
-    shared = written(entries.groupBy("h").agg(F.sum("group_size").alias("n")).filter("n > 1").select("h"), "shared")
-    same_bytes = (
+    shared = entries.groupBy("bucket", "h").agg(F.sum("group_size").alias("n")).filter("n > 1").select("h")
+    texts = (
         docs.select(key(norm).alias("h"), norm.alias("norm"))
-        .join(shared, "h", "left_semi")
+        .join(written(shared, "shared"), "h", "left_semi")
         # Not by h: so the join may split a hot key, and its texts are combined before they move on.
         .groupBy("norm")
         .agg(F.count("*").alias("n"), F.first("h").alias("h"))
-        .groupBy("h", F.sha2("norm", 256).alias("text_sha256"))
+    )
+    compared = (
+        texts.select(bucket, "h", F.sha2("norm", 256).alias("text_sha256"), "n")
+        .repartition(owners, "bucket")
+        .groupBy("bucket", "h", "text_sha256")
         .agg(F.count("*").alias("texts"), F.sum("n").alias("copies"))
     )
-    bucket = F.get(constant(slots, "array<int>"), _prefix(depth).cast("int"))
+    differ = (F.coalesce("texts", F.lit(1)) > 1) | (F.coalesce("copies", "group_size") != F.col("group_size"))
+    size = F.when(differ, F.raise_error(F.lit("texts of one digest differ")).cast("long")).otherwise(F.col("group_size"))
+    entry = F.struct("text_sha256", size.alias("group_size"), F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"))
     index = written(
-        entries.join(same_bytes, ["h", "text_sha256"], "left")
-        .select(
-            bucket.alias("bucket"),
-            "h",
-            "text_sha256",
-            F.when(
-                (F.coalesce("texts", F.lit(1)) > 1)
-                | (F.coalesce("copies", "group_size") != F.col("group_size")),
-                F.raise_error(F.lit("texts of one digest differ")).cast("long"),
-            )
-            .otherwise(F.col("group_size"))
-            .alias("group_size"),
-            F.col("top.doc_id").alias("keep_id"),
-            F.col("top.row").alias("keep_row"),
-        )
-        .repartition(max(1, min(buckets, _tasks(spark))), "bucket")
-        .sortWithinPartitions("bucket", "h", "text_sha256"),
+        entries.repartition(owners, "bucket")
+        .join(compared, ["bucket", "h", "text_sha256"], "left")
+        .groupBy("bucket", "h")
+        .agg(F.array_sort(F.collect_list(entry)).alias("chain"))
+        .sortWithinPartitions("bucket", "h"),
         "index",
     )
-    return (
-        rows.join(index, ["h", "text_sha256"])
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("row") == F.col("keep_row")).alias("kept"),
-            "text_sha256",
-        )
+    asked = rows.select(bucket, "h", "text_sha256", "doc_id", "row")
+    found = asked.join(index, ["bucket", "h"]).withColumn(
+        "e", F.get(F.filter("chain", lambda e: e["text_sha256"] == F.col("text_sha256")), 0)
+    )
+    return found.select(
+        "doc_id",
+        F.col("e.keep_id").alias("keep_id"),
+        F.col("e.group_size").alias("group_size"),
+        (F.col("row") == F.col("e.keep_row")).alias("kept"),
+        "text_sha256",
     )
 
 
+#: Rows of one bucket are combined in so many parts before they move to its owner.
+SALTS = 16
+
+
 def _tasks(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs that exact_copies keeps, with all their columns."""
+    """The rows of docs that exact_copies keeps, with all their columns.
+
+    Null and empty texts are one text, of which one row stays; so it is with rows that repeat id and text. An
+    empty table stays empty; columns of any name are kept.
+    """
     found = exact_copies(docs, id_col=id_col, text_col=text_col, **settings).filter("group_size > 1")
     return kept_rows(docs, found, id_col, F.sha2(ascii_lower(F.col(text_col)), 256), "text_sha256")

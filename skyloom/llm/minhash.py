@@ -408,6 +408,10 @@ def _linked(similarity: float):
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs that near_copies keeps, with all their columns."""
+    """The rows of docs that near_copies keeps, with all their columns.
+
+    Null and empty texts are one text, of which one row stays; of rows that repeat id and text one stays. An
+    empty table stays empty; columns of any name are kept.
+    """
     found = near_copies(docs, id_col=id_col, text_col=text_col, **settings).filter("class_size > 1")
     return kept_rows(docs, found, id_col, text_key(F.col(text_col)), "t")

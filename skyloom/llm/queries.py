@@ -68,16 +68,18 @@ with urls as (
     from pages
 ),
 known as (
-    select host, l.bad from urls left join (
+    select regexp_replace(host, ':[0-9]*$', '') as host, l.bad from urls left join (
         select doc_id, max(case when quality = 0 or toxic = 1 then 1
                                 when quality is not null or toxic is not null then 0 end) as bad
         from labels group by doc_id
     ) l on l.doc_id = page_id
 ),
 hosts as (
-    select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix,
-           count(bad) as k, coalesce(sum(bad), 0) as b
-    from known group by host
+    select host, array_to_string(string_split(host, '.')[-1 - labels:], '.') as domain,
+           array_to_string(string_split(host, '.')[-labels:], '.') as suffix, count(bad) as k, coalesce(sum(bad), 0) as b
+    from (select *, case when array_to_string(string_split(host, '.')[-2:], '.') in ({', '.join(map(repr, url_filter.TWO_LABELS))})
+                         then 2 else 1 end as labels from known) n
+    group by host, labels
 ),
 domains as (select domain, any_value(suffix) as suffix, sum(k) as k, sum(b) as b from hosts group by domain),
 suffixes as (select suffix, sum(k) as k, sum(b) as b from domains group by suffix),
@@ -93,7 +95,7 @@ rules as (
 ),
 judged as (
     select u.page_id, u.host, u.path, r.rule, r.what, a.rate, a.h, a.k
-    from urls u join at_host a using (host)
+    from urls u join at_host a on a.host = regexp_replace(u.host, ':[0-9]*$', '')
     left join rules r on ends_with('.' || u.host, '.' || split_part(r.rule, '/', 1))
         and starts_with(u.path, substr(r.rule, length(split_part(r.rule, '/', 1)) + 1))
     qualify row_number() over (partition by u.page_id order by length(r.rule) desc nulls last) = 1

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import constant, written
@@ -147,6 +147,10 @@ def _evidence(model: Model):
     return run
 
 
+#: Least log-likelihood ratio of a feature that tells toxic documents.
+LEAST_GAIN = 8.0
+
+
 def choose_lexicons(stats: list[tuple[str, int, int]], others: int, toxic: int, voters: int) -> tuple[list[list[str]], list[str]]:
     """Lexicons of features far likelier in toxic documents, and the classifier's features.
 
@@ -166,13 +170,12 @@ def choose_lexicons(stats: list[tuple[str, int, int]], others: int, toxic: int,
     chosen: list[str] = []
     for f, o, t in ranked:
         bare = f.rstrip("*^")
-        told = gain(o, t) >= 8 and t / toxic > 9 * o / max(others, 1)
+        told = gain(o, t) >= LEAST_GAIN and t / toxic > 9 * o / max(others, 1)
         if told and not any(bare.startswith(c.rstrip("*^")) or c.rstrip("*^").startswith(bare) for c in chosen):
             chosen.append(f)
     lexicons: list[list[str]] = [[] for _ in range(min(voters, len(chosen)))]
     for i, f in enumerate(chosen):
-        if i < 4 * voters:
-            lexicons[i % voters].append(f)
+        lexicons[i % voters].append(f)
     return lexicons, [f for f, _, _ in ranked]
 
 
@@ -236,14 +239,28 @@ def linear_fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
     return w[:-1], float(w[-1])
 
 
-def chosen_model(train: DataFrame, *, voters: int, features: int, least: int) -> Model:
-    """Lexicons and features from train (text, toxic)."""
+def _gain(others: int, toxic: int) -> Column:
+    """The log-likelihood ratio of a feature in o of the other and t of the toxic documents."""
+    p = (F.col("o") + F.col("t")) / float(max(others + toxic, 1))
+
+    def part(x: Column, n: Column, q: Column) -> Column:
+        return F.when((x > 0) & (q > 0), x * F.log(x / (n * q))).otherwise(0.0)
+
+    total = F.lit(0.0)
+    for name, n in (("o", others), ("t", toxic)):
+        x, n = F.col(name).cast("double"), F.lit(float(n))
+        total = total + part(x, n, p) + part(n - x, n, 1 - p)
+    return total
+
+
+def chosen_model(train: DataFrame, *, voters: int, least: int) -> Model:
+    """Lexicons and features from train (text, toxic): every feature whose gain is large enough."""
     totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     others, toxic = totals.get(0, 0), totals.get(1, 0)
     counts = train.mapInArrow(_features, "feature string, other bigint, toxic bigint").groupBy("feature")
     counts = counts.agg(F.sum("other").alias("o"), F.sum("toxic").alias("t")).filter(F.col("t") >= least)
     share = (F.col("t") + 0.1) / (toxic + 1) / ((F.col("o") + 0.1) / (others + 1))
-    told = counts.filter(share > 3).orderBy(F.desc(F.col("t") * F.log(share)), "feature").limit(features)
+    told = counts.filter((share > 3) & (_gain(others, toxic) >= LEAST_GAIN))
     lexicons, names = choose_lexicons([(r["feature"], r["o"], r["t"]) for r in told.collect()], others, toxic, voters)
     return Model(lexicons, names).ready()
 
@@ -271,6 +288,23 @@ def fitted_weights(model: Model, patterns: DataFrame, train: DataFrame) -> tuple
     return weights.tolist(), bias
 
 
+def _sample_bound(labelled: Callable[[DataFrame], DataFrame], rows: DataFrame, fit_rows: int) -> int:
+    """Below which hash at most fit_rows labelled rows lie; rows that repeat id and text are in or out together."""
+    top = (1 << 63) - 1
+    n = labelled(rows.select("doc_id", "held_out")).count()
+    if n <= fit_rows:
+        return top
+    near = -(1 << 63) + int(min(1.0, 1.1 * fit_rows / n) * (1 << 32)) * (1 << 32) - 1
+    counts = labelled(rows.select("doc_id", "held_out", "pick").filter(F.col("pick") < near)).groupBy("pick")
+    # About fit_rows numbers: one for each distinct row.
+    taken = 0
+    for r in sorted(counts.agg(F.count("*").alias("n")).collect(), key=lambda r: r["pick"]):
+        taken += r["n"]
+        if taken > fit_rows:
+            return r["pick"]
+    return near
+
+
 def toxicity_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -282,13 +316,12 @@ def toxicity_scores(
     folds: int = 5,
     fit_rows: int = 20_000,
     voters: int = 13,
-    features: int = 200,
     least: int = 3,
 ) -> DataFrame:
     """One row per input row: id, whether it was held out, a score from 0 to 1, and the predicted label.
 
     Rows whose crc32(id) mod folds is 0 are held out and lend no label. Lexicon voters are words and word
-    prefixes that mark toxic texts among at most fit_rows labelled rows (a hash sample); pattern voters look at
+    prefixes that mark toxic texts among at most fit_rows labelled rows (those of least hash of id and text); pattern voters look at
     shouting, marks and doubled words. A generative model of the votes of all documents estimates the voters' rates and
     correlations; a linear classifier over words, prefixes and patterns learns its posteriors on
     the sampled rows and scores every whole text. Texts are read once for the sample and once for all evidence. Only
@@ -299,7 +332,7 @@ def toxicity_scores(
     low. An empty table gives no rows. Other columns are not read.
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
-    pick = F.xxhash64(F.lit("fit"), F.col(text_col))
+    pick = F.xxhash64(F.lit("fit"), F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), pick.alias("pick"), F.col(text_col).alias("text"))
     known = labels.groupBy(F.col(label_id).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     known = written(known.filter("toxic is not null"), "toxic-labels")
@@ -307,12 +340,9 @@ def toxicity_scores(
     def labelled(df: DataFrame) -> DataFrame:
         return df.filter("not held_out").join(known, F.col("doc_id") == F.col("_id")).drop("_id")
 
-    n = labelled(rows.select("doc_id", "held_out")).count()
-    part = min(1.0, fit_rows / max(n, 1))
-    bound = -(1 << 63) + int(part * (1 << 32)) * (1 << 32)
-    sampled = F.col("pick") < bound if part < 1 else F.lit(True)
+    sampled = F.col("pick") < _sample_bound(labelled, rows, fit_rows)
     train = written(labelled(rows.filter(sampled)).select("text", "toxic"), "toxic-train")
-    model = chosen_model(train, voters=voters, features=features, least=least)
+    model = chosen_model(train, voters=voters, least=least)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     evidence = written(rows.mapInArrow(_evidence(model), f"doc_id {kind}, {EVIDENCE}"), "toxic-evidence")

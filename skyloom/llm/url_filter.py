@@ -20,13 +20,45 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels; the host itself if it has fewer."""
-    return F.substring_index(host, ".", -2)
-
-
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+# Public suffixes of two labels under which anyone can register, by their country.
+SECOND_LEVEL = {
+    "uk": ["co", "org", "ac", "gov", "me", "net", "ltd", "plc", "sch"],
+    "au": ["com", "net", "org", "edu", "gov", "id"],
+    "nz": ["co", "org", "net", "ac", "govt", "geek"],
+    "jp": ["co", "or", "ne", "ac", "ad", "go", "gr", "ed", "lg"],
+    "br": ["com", "net", "org", "gov", "edu"],
+    "za": ["co", "org", "net", "ac", "gov", "web"],
+    "in": ["co", "org", "net", "ac", "gov", "firm"],
+    "kr": ["co", "or", "ne", "ac", "go", "re"],
+    "cn": ["com", "net", "org", "edu", "gov", "ac"],
+    "tw": ["com", "net", "org", "edu", "gov"],
+    "mx": ["com", "net", "org", "edu", "gob"],
+    "ar": ["com", "net", "org", "edu", "gob"],
+    "tr": ["com", "net", "org", "edu", "gov"],
+    "il": ["co", "org", "net", "ac", "gov"],
+    "at": ["co", "or", "ac", "gv"],
+    "pl": ["com", "net", "org", "edu", "gov"],
+}
+TWO_LABELS = [f"{second}.{country}" for country, seconds in SECOND_LEVEL.items() for second in seconds]
+
+
+def name_of(host: Column) -> Column:
+    """The host without its port."""
+    return F.regexp_replace(host, ":[0-9]*$", "")
+
+
+def suffix_of(name: Column, two_labels: list[str] | None = None) -> Column:
+    """The public suffix: the longest known one, else the last label."""
+    two = F.substring_index(name, ".", -2)
+    return F.when(two.isin(TWO_LABELS if two_labels is None else two_labels), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain_of(name: Column, two_labels: list[str] | None = None) -> Column:
+    """The registered domain: the public suffix and one label more, or what there is."""
+    two = F.substring_index(name, ".", -2)
+    return F.when(
+        two.isin(TWO_LABELS if two_labels is None else two_labels), F.substring_index(name, ".", -3)
+    ).otherwise(two)
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -101,7 +133,8 @@ def judge_urls(
     most_bad even at the posterior's lower bound. outcomes label pages by id; bad is 1 or 0 (default: low quality
     or toxic); a page labelled several times is bad if any label says so.
 
-    Statistics are combined before they shuffle; pages meet their host's row in a join that adaptive execution
+    Ports do not tell hosts apart; a registered domain is a public suffix (TWO_LABELS, or the last label) and one
+    label more. Statistics are combined before they shuffle; pages meet their host's row in a join that adaptive execution
     splits when one host holds many pages. A null url or one without :// has an empty host and path; a null id has
     no label. An empty table gives no rows; a host without labels has its domain's rate. Other columns
     are not read.
@@ -113,10 +146,12 @@ def judge_urls(
         )
     labels = outcomes.select(F.col(outcome_id).alias("_id"), bad.alias("bad")).groupBy("_id").agg(F.max("bad").alias("bad"))
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    known = urls.select("page_id", "host").join(labels, F.col("page_id") == F.col("_id"), "left")
-    stats = written(reputations(known, z=z), "reputation").select("host", "rate", "low", F.col("k").alias("labelled"))
+    urls = urls.withColumn("name", name_of(F.col("host")))
+    known = urls.select("page_id", F.col("name").alias("host")).join(labels, F.col("page_id") == F.col("_id"), "left")
+    stats = written(reputations(known, z=z), "reputation")
+    stats = stats.select(F.col("host").alias("name"), "rate", "low", F.col("k").alias("labelled"))
     verdicts = constant({rule: what for what, rule in rules}, "map<string,string>")
-    judged = urls.join(stats, "host").withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
+    judged = urls.join(stats, "name").withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     by_rate = F.when(F.col("low") > most_bad, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(
         "page_id",

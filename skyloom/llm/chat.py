@@ -107,7 +107,10 @@ def cheapest_run(roles: bytes, begin: int, end: int) -> list[tuple[int, int, tup
     return path[::-1]
 
 
-_cached_run = lru_cache(maxsize=CACHED_RUNS)(cheapest_run)
+# A function of its own name: tasks' functions refer to it by that name.
+@lru_cache(maxsize=CACHED_RUNS)
+def _cached_run(roles: bytes, begin: int, end: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    return cheapest_run(roles, begin, end)
 
 
 def render(role: str, text: str, first: bool) -> str:

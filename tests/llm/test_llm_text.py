@@ -545,3 +545,9 @@ def test_chat_results_do_not_depend_on_blocks(spark):
     frame = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     one, many = (Counter(map(tuple, chat.repair_roles(frame, block=b).collect())) for b in (512, 2))
     assert one == many
+
+
+def test_chat_functions_reach_tasks():
+    from pyspark import cloudpickle
+
+    assert cloudpickle.dumps((chat._block_costs, chat._chained, chat._repaired))

@@ -551,3 +551,14 @@ def test_chat_functions_reach_tasks():
     from pyspark import cloudpickle
 
     assert cloudpickle.dumps((chat._block_costs, chat._chained, chat._repaired))
+
+
+def test_quality_model_holds_only_grams_that_occur(spark):
+    texts = ["the cat sat", "the dog sat on the mat", "a cat", "ÄÖ 12!"]
+    grams = spark.createDataFrame([(int(g), 1) for t in texts for g in quality.grams_of(t)], "gram bigint, c bigint")
+    model = quality.NgramModel(quality.model_tables(grams))
+    assert sum(v.nbytes for v in vars(model).values() if isinstance(v, np.ndarray)) < 8_000_000
+    table = model.log2()
+    asked = np.concatenate([quality.grams_of(t) for t in [*texts, "the hat sat on zebras"]])
+    assert np.array_equal(model.log2_of(asked), table[asked])
+    assert np.allclose(np.exp2(table.reshape(-1, quality.SYMBOLS).astype(float)).sum(axis=1), 1, atol=1e-3)

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -224,15 +225,38 @@ def label_model(
     return post, rate
 
 
-def linear_fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton steps."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(a.shape[1])
+#: Rows of the sample that are spelled out at a time.
+BLOCK = 1000
+
+
+def spelled_out(places: np.ndarray, start: np.ndarray, width: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Blocks of rows of ones at places, with a last column of ones; start has the rows' borders."""
+    for first in range(0, len(start) - 1, BLOCK):
+        rows = slice(first, min(first + BLOCK, len(start) - 1))
+        borders = start[first : rows.stop + 1]
+        a = np.zeros((len(borders) - 1, width + 1))
+        a[np.repeat(np.arange(len(a)), np.diff(borders)), places[borders[0] : borders[-1]]] = 1
+        a[:, -1] = 1
+        yield rows, a
+
+
+def linear_fit(
+    places: np.ndarray, start: np.ndarray, width: int, y: np.ndarray, penalty: float = 1.0, rounds: int = 25
+) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by Newton steps; places of all rows' ones lie one after the other.
+
+    Memory is that of width**2 sums and a block of rows.
+    """
+    w = np.zeros(width + 1)
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(ridge), a.T @ (p - y) + ridge * w)
+        curve, slope = np.diag(ridge), ridge * w
+        for rows, a in spelled_out(places, start, width):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            slope += a.T @ (p - y[rows])
+            curve += a.T @ (a * (p * (1 - p) + 1e-9)[:, None])
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -271,20 +295,19 @@ def fitted_weights(model: Model, patterns: DataFrame, train: DataFrame) -> tuple
     rows = patterns.collect()  # at most 2**(voters + 4)
     bits, seen = np.array([r["votes"] for r in rows], np.int64), np.array([r["n"] for r in rows], float)
     # Bounded by fit_rows, a few numbers each; in one order, so that sums are the same in every run.
-    sample = sorted(train.collect(), key=lambda r: (r["votes"], list(r["x"]), r["toxic"]))
-    x = np.zeros((len(sample), model.width()))
-    for row, r in zip(x, sample, strict=True):
-        row[list(r["x"])] = 1
-    votes = np.array([r["votes"] for r in sample], np.int64)
-    y = np.array([r["toxic"] for r in sample], float)
-    if not len(sample):
-        return [0.0] * x.shape[1], -3.0
+    sample = train.select("votes", F.sort_array("x").alias("x"), "toxic").toArrow()
+    if not sample.num_rows:
+        return [0.0] * model.width(), -3.0
+    rows = sorted(zip(*(sample[c].to_pylist() for c in ("votes", "x", "toxic")), strict=True))
+    votes, y = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], float)
+    borders = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])])
+    places = np.fromiter(chain.from_iterable(r[1] for r in rows), np.int32, borders[-1])
     on, toxic = votes_of(votes, k), y.sum()
     start = np.stack([(on[y == c].sum(0) + 0.02 + 0.2 * c) / ((y == c).sum() + 1) for c in (0, 1)]).clip(1e-4, 0.99)
     shared = correlations(on, [1 - y, y], start)
     post, _ = label_model(bits, seen, start, (len(y) - toxic + 0.95, toxic + 0.05), shared)
     known = dict(zip(bits.tolist(), post.tolist(), strict=True))
-    weights, bias = linear_fit(x, np.array([known.get(v, 0.0) for v in votes.tolist()]))
+    weights, bias = linear_fit(places, borders, model.width(), np.array([known.get(v, 0.0) for v in votes.tolist()]))
     return weights.tolist(), bias
 
 

@@ -562,3 +562,20 @@ def test_quality_model_holds_only_grams_that_occur(spark):
     asked = np.concatenate([quality.grams_of(t) for t in [*texts, "the hat sat on zebras"]])
     assert np.array_equal(model.log2_of(asked), table[asked])
     assert np.allclose(np.exp2(table.reshape(-1, quality.SYMBOLS).astype(float)).sum(axis=1), 1, atol=1e-3)
+
+
+def test_toxicity_fit_spells_out_one_block(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 600, rng.integers(0, 9))) for _ in range(20_000)]
+    y = np.array([0.9 if 3 in r or 7 in r else 0.05 for r in rows])
+    places, start = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+    tracemalloc.start()
+    weights, bias = toxicity.linear_fit(places, start, 600, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000 and weights.argsort()[-2:].tolist() in ([3, 7], [7, 3])
+    monkeypatch.setattr(toxicity, "BLOCK", 1 << 20)
+    whole, other = toxicity.linear_fit(places, start, 600, y)
+    assert np.allclose(weights, whole, atol=1e-9) and abs(bias - other) < 1e-9

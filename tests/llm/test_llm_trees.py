@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_llm_dedup import documents, sentence
 
 from skyloom.llm import alignment, edit_prints, merkle
@@ -324,3 +325,22 @@ def test_classes_hold_nine_in_ten_links_of_the_documents(spark):
     for t, c in named.items():
         by_class[c].add(root(t))
     assert all(len(x) == 1 for x in by_class.values())
+
+
+def test_scattered_edits_of_long_texts_are_links():
+    rng = random.Random(8)
+    signs = [rng.choice("abcdefgh ") for _ in range(22_000)]
+    changed = ["Z" if i % 11 == 0 else c for i, c in enumerate(signs)]
+    assert edit_prints.similar("".join(signs), "".join(changed), 0.9)
+    assert not edit_prints.similar("".join(signs), "".join(changed), 0.92)
+
+
+def test_every_pair_that_meets_is_compared(spark, monkeypatch):
+    rng = random.Random(9)
+    signs = [rng.choice("abcdefgh ") for _ in range(3000)]
+    other = "".join("Z" if i % 11 == 0 else c for i, c in enumerate(signs))
+    prints = edit_prints.text_prints(documents(spark, [(1, "".join(signs)), (2, other)]))
+    met = prints.agg(F.min("t").alias("a"), F.max("t").alias("b")).selectExpr("a", "b", "2L as met")
+    monkeypatch.setattr(edit_prints, "_bucket_pairs", lambda *_: met)
+    docs = documents(spark, [(1, "".join(signs)), (2, other)])
+    assert {r["class_id"] for r in edit_prints.similar_texts(docs, prints).collect()} == {1}

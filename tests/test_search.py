@@ -81,7 +81,6 @@ def test_search_everywhere_is_brute_force(spark, world):
 @pytest.mark.parametrize("least", [1, 150, 220, 320])
 def test_texts_without_a_common_key_score_less(spark, least):
     from pyspark.sql import functions as F
-
     from skyloom.functions.phonetic import TextKeys, best_score
 
     rng = random.Random(least)
@@ -140,3 +139,18 @@ def test_search_airport(spark, world):
     assert [r.ord for r in rows if r.query_id == 1] == [f[0] for f in sfo][:100]
     assert {r.total for r in rows if r.query_id == 0} == {len(lax)}
     assert {r.query_id for r in rows} == {0, 1}
+
+
+def test_no_side_of_many_rows_is_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from skyloom.operators import grid
+
+    monkeypatch.setattr(grid, "BROADCAST_ROWS", 500)
+    left = spark.range(10).withColumnRenamed("id", "cell")
+    # Ten rows for the optimizer, a thousand in truth.
+    right = spark.range(10).select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("cell"), F.col("id").alias("site"))
+    joined = grid.salted_join(left, right, ["cell"], ["cell"])
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 100
+    few = grid.salted_join(left, right.where("site = 0"), ["cell"], ["cell"])
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 10

@@ -148,6 +148,38 @@ def test_corridor_zones(spark):
     assert "FOX 1" not in [r.ident for r in found]
 
 
+def test_first_of_many_of_a_name_is_the_boxs(spark):
+    """Earlier sites of a name far away do not count, however many there are."""
+    nm = 1 / 60.04
+    rows = []
+    for name, far in (("FEW", 3), ("SOME", 40), ("MANY", 600)):
+        rows += [(len(rows) + i, f"{name}{i}", name, "ndb", -40.0 + i / 100, 20.0) for i in range(far)]
+        rows += [(len(rows) + i, f"{name}-{i}", name, "ndb", 33 + 3 * nm, -117.5 + i / 100) for i in range(3)]
+        rows += [(rows[-1][0], f"{name}-AGAIN", name, "ndb", 33 + 4 * nm, -117.3)]  # shares its number
+    zones = corridor.corridor_zones(straight(spark), spark.createDataFrame(rows, SITE))
+    assert sorted(r.ident for r in zones.collect()) == ["FEW-0", "MANY-0", "SOME-0"]
+
+
+def test_sites_of_one_place_and_kind_are_listed_by_the_first(spark):
+    copies = [(i, "SAME", f"N{i % 3}", "fix", 33.0, -117.5) for i in range(30, 0, -1)]
+    copies += [(40, "SAME", "N1", "airport", 33.0, -117.5), (41, "SAME", "N1", "airport", 33.0, -117.1)]
+    sites = spark.createDataFrame(copies, SITE)
+    assert corridor._first_copies(corridor.corridor_sites(sites)).count() == 3
+    got = {(r.type, r.ord, r.nearest_seg, tuple(r.first_seen)) for r in corridor.corridor_zones(straight(spark), sites).collect()}
+    assert got == {("fix", 1, 2, (0, 1)), ("airport", 41, 4, (0, 40))}
+
+
+def test_distances_of_a_corridor_are_not_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        segs = spark.sql("select 'A' aircraft, 0 seg, 1d a_lat, 1d a_lon, 2d b_lat, 2d b_lon from range(9)")
+        sites = spark.sql("select 0 branch, id ord, 1d lat, 1d lon from range(9)")
+        plan = corridor.nearest_segments(segs, sites)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 APT = "ord int, icao string, name string, lat double, lon double, type string, iata string, city string, country string"
 
 

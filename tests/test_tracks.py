@@ -169,12 +169,18 @@ def test_sites_of_one_place_and_kind_are_listed_by_the_first(spark):
     assert got == {("fix", 1, 2, (0, 1)), ("airport", 41, 4, (0, 40))}
 
 
+def test_a_repeated_site_number_is_one_site(spark):
+    sites = spark.createDataFrame([(7, 33.01, -117.5), (7, 33.02, -116.9)], "ord int, lat double, lon double")
+    (row,) = corridor.nearest_segments(tracks.track_segments(straight(spark, n=9)), sites, 5.0, ["ord"]).collect()
+    assert (row.ord, row.nearest_seg) == (7, 2) and row.distance < 1
+
+
 def test_distances_of_a_corridor_are_not_shuffled(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         segs = spark.sql("select 'A' aircraft, 0 seg, 1d a_lat, 1d a_lon, 2d b_lat, 2d b_lon from range(9)")
         sites = spark.sql("select 0 branch, id ord, 1d lat, 1d lon from range(9)")
-        plan = corridor.nearest_segments(segs, sites)._jdf.queryExecution().executedPlan().toString()
+        plan = corridor.nearest_segments(segs, sites, site_id=("lat", "lon"))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2

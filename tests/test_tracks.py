@@ -178,8 +178,8 @@ def test_a_repeated_site_number_is_one_site(spark):
 def test_distances_of_a_corridor_are_not_shuffled(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        segs = spark.sql("select 'A' aircraft, 0 seg, 1d a_lat, 1d a_lon, 2d b_lat, 2d b_lon from range(9)")
-        sites = spark.sql("select 0 branch, id ord, 1d lat, 1d lon from range(9)")
+        segs = spark.sql("select string(id % 3) aircraft, id seg, double(id) a_lat, double(id) a_lon, id + 1d b_lat, id + 1d b_lon from range(9)")
+        sites = spark.sql("select double(id) lat, id + 1d lon from range(9)")
         plan = corridor.nearest_segments(segs, sites, site_id=("lat", "lon"))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -344,3 +344,50 @@ def test_every_pair_that_meets_is_compared(spark, monkeypatch):
     monkeypatch.setattr(edit_prints, "_bucket_pairs", lambda *_: met)
     docs = documents(spark, [(1, "".join(signs)), (2, other)])
     assert {r["class_id"] for r in edit_prints.similar_texts(docs, prints).collect()} == {1}
+
+
+def test_distances_of_many_pairs_side_by_side():
+    rng = random.Random(4)
+    pairs = [("", "", 0), ("", "abc", 3), ("abc", "", 2), ("x" * 50, "x" * 50, 0)]
+    signs = "".join(map(chr, range(0x4E00, 0x4E00 + 300)))  # more than a byte holds
+    pairs += [(signs, signs[1:] + "a", most) for most in (1, 2)]
+    for _ in range(400):
+        some = rng.choice(["ab", "abc", "äß漢x"])
+        a = "".join(rng.choice(some) for _ in range(rng.randrange(60)))
+        b = list(a) if rng.random() < 0.5 else [rng.choice(some) for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(8)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", rng.choice(some)])
+        pairs.append((a, "".join(b), rng.randrange(20)))
+    expected = [plain_distance(a, b) <= most for a, b, most in pairs]
+    for cells in (1, 500, 200_000):
+        assert edit_prints.all_within(pairs, cells=cells) == expected
+    assert edit_prints.all_within(pairs, few=0) == expected
+
+
+def test_lengths_in_few_bits_keep_their_order():
+    n = np.array([1, 2, 16_383, 16_384, 16_385, 16_386, 40_000, 1 << 20, (1 << 20) + 200, (1 << 31) - 1])
+    codes = edit_prints._size_codes(n)
+    assert (np.diff(codes) >= 0).all() and codes.max() < 1 << edit_prints.SIZE_BITS
+    for size, (low, high) in zip(n.tolist(), map(edit_prints._sizes, codes.tolist()), strict=True):
+        assert low <= size <= high <= low * (1 + 2**-13) and (low == high or size >= 1 << 14)
+
+
+def test_a_bucket_counts_once_wherever_tasks_begin(spark):
+    """Rows at the ends of tasks meet again, which must not count twice."""
+    rng = random.Random(6)
+    base = sentence(rng, 150).split()
+    texts = [" ".join(["other" if i == k else w for i, w in enumerate(base)]) for k in range(0, 150, 6)]
+    prints = edit_prints.text_prints(documents(spark, list(enumerate(texts)) + [(99, texts[0])]))
+    bands = {bytes(r["t"]): bytes(r["bands"]) for r in prints.select("t", "bands").collect()}
+    size, before = edit_prints.KEY_BYTES, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for tasks in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            pairs = edit_prints._bucket_pairs(prints, 0.9, 3, 1).collect()
+            assert len({(r["a"], r["b"]) for r in pairs}) == len(pairs) > len(texts)
+            for r in pairs:
+                a, b = bands[bytes(r["a"])], bands[bytes(r["b"])]
+                assert 0 < r["met"] <= sum(a[i : i + size] == b[i : i + size] for i in range(0, len(a), size))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -391,3 +391,24 @@ def test_a_bucket_counts_once_wherever_tasks_begin(spark):
                 assert 0 < r["met"] <= sum(a[i : i + size] == b[i : i + size] for i in range(0, len(a), size))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_members_of_a_crowded_bucket_that_are_no_neighbours_are_compared(spark, monkeypatch, block):
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (980, 985, 1000, *range(1010, 1090, 8))]
+    texts.append(texts[2] + "Z" * 95)  # the first of the run and three texts before it are others
+    crowded = edit_prints._crowded_pairs
+    monkeypatch.setattr(edit_prints, "_crowded_pairs", lambda *given: crowded(*given, block=block))
+    docs = documents(spark, list(enumerate(texts)))
+    prints = edit_prints.text_prints(docs)
+    same = prints.filter("doc_id = 0").select("bands").first()["bands"]
+    prints = prints.withColumn("bands", F.lit(same))
+    found = {r["row"]: (r["class_id"], r["class_size"]) for r in edit_prints.similar_texts(docs, prints).collect()}
+    of = {r["doc_id"]: found[r["row"]] for r in prints.select("doc_id", "row").collect()}
+    assert of == {k: (2, 2) if k in (2, len(texts) - 1) else (k, 1) for k in range(len(texts))}
+    met = edit_prints._meeting_rows(prints, 0.9, 3)
+    nobody = spark.createDataFrame([], "node binary, root binary")
+    pairs = [tuple(r) for r in edit_prints._crowded_pairs(prints, met, nobody, 0.9, 3, 2).collect()]
+    fit = sum(len(a) >= 0.9 * len(b) for i, a in enumerate(texts) for b in texts[i + 1 :])
+    assert len(set(pairs)) == len(pairs) == fit

@@ -279,3 +279,21 @@ def test_area_lists(spark):
     assert area.select_area(few, fixes, moas, fbos).count() == 0
     found = area.area_search(sel, spark.createDataFrame([(7, "alfa")], "region_id int, query string"))
     assert found.collect()[0].ident == "ALFA"
+
+
+def test_copies_of_a_site_are_measured_once(spark, monkeypatch):
+    from skyloom.operators import corridor
+
+    segments = spark.createDataFrame(
+        [("a", 0, 30.0, -100.0, 30.5, -99.5), ("a", 1, 30.5, -99.5, 31.0, -99.5), ("b", 0, 30.5, -99.5, 30.0, -100.0)],
+        "aircraft string, seg long, a_lat double, a_lon double, b_lat double, b_lon double",
+    )
+    places = [(30.0, -100.0), (30.02, -99.9), (30.52, -99.48), (30.9, -99.53), (32.0, -99.5)]
+    rows = [(i, *places[i % 5]) for i in range(40)] + [(7, *places[0]), (3, *places[3]), (None, *places[1]), (None, *places[2])]
+    sites = spark.createDataFrame(rows, "ord long, lat double, lon double")
+    expected = corridor.nearest_segments(segments, sites, 5.0, ["ord"], "geodesic").collect()
+    met, plainly = [], corridor.nearest_segments
+    monkeypatch.setattr(corridor, "nearest_segments", lambda s, spots, *rest: met.append(spots.count()) or plainly(s, spots, *rest))
+    found = corridor.nearest_of_sites(segments, sites, 5.0, ["ord"], "geodesic").select("aircraft", "ord", "distance", "nearest_seg")
+    assert met == [5]
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected)) and len(expected) > 30

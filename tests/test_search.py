@@ -154,3 +154,16 @@ def test_no_side_of_many_rows_is_broadcast(spark, monkeypatch):
     assert joined.count() == 100
     few = grid.salted_join(left, right.where("site = 0"), ["cell"], ["cell"])
     assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 10
+
+
+def test_wide_rows_are_broadcast_up_to_fewer(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from skyloom.operators import grid
+
+    monkeypatch.setattr(grid, "BROADCAST_ROWS", 500)
+    left = spark.range(10).withColumnRenamed("id", "cell")
+    right = spark.range(100).select((F.col("id") % 10).alias("cell"), *[F.array("id").alias(f"codes{i}") for i in range(3)])
+    joined = left.join(grid.safe_to_broadcast(right), "cell")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 100
+    slim = left.join(grid.safe_to_broadcast(right.select("cell")), "cell")
+    assert "BroadcastHashJoin" in slim._jdf.queryExecution().executedPlan().toString() and slim.count() == 100
